@@ -5,8 +5,8 @@ vectors, each permuted by its place, by element-wise multiplication; the vector
 bundles its n-grams by addition. Languages are prototypes, bundles of labelled text.
 Texts are compared with them by cosine. Bundling is linear, so the dot product of a text
 with a prototype is the sum of those of its n-grams; these are computed once an n-gram
-and worker and kept in a table. The length of a text's vector is taken as its expected
-value, the root of the sum of squared n-gram counts: random vectors are nearly orthogonal.
+and worker and kept in a table. The length of a text's own vector divides all its cosines
+alike, so neither the best language nor its lead in parts of the best depends on it.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ PER_LANGUAGE = 400  #: documents per language that prototypes are fitted on, at
 LONGEST = 20000  #: documents with more characters aren't used for fitting
 ROUNDS = 2  #: times the fitted segments are assigned anew and prototypes rebuilt
 LETTERS = 128
+SHORT = 30  #: units with fewer n-grams lean on their neighbours
+SENTENCE = re.compile(r"[.!?]+\s+|\u3002")
 FENCE = re.compile(r"^ {0,3}(```|~~~)")
-CODE = re.compile(r"`[^`\n]*`|https?://\S+|\S*[_/\\]\S*|\S*[a-z][A-Z]\S*")
+INLINE = re.compile(r"`[^`]*`")
+NAME = re.compile(r"[_/\\]|[a-z][A-Z]")
 
 #: Letters with a class of their own, besides a to z.
 ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿß"
@@ -56,14 +59,29 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the text's letter trigrams; runs of other characters count as one blank."""
-    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    letters = np.concatenate([[0], CLASSES[np.minimum(codes, 0xFFFF)], [0]]).astype(np.int64)
+def words_of(line: str) -> str:
+    """A line without inline code and without words that are names of code, files or addresses."""
+    if "`" in line:
+        line = INLINE.sub(" ", line)
+    return " ".join(w for w in line.split() if not NAME.search(w)) if NAME.search(line) else line
+
+
+def trigrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the letter trigrams of all parts, and the part of each. Runs of other
+    characters count as one blank, as do both ends of a part."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("\n".join(["", *parts, ""]).encode("utf-32-le", "replace"), np.uint32)
+    letters = CLASSES[np.minimum(codes, 0xFFFF)]
+    owner = np.repeat(np.arange(-1, len(parts)), [1, *[len(p) + 1 for p in parts]])
     keep = np.ones(len(letters), bool)
     keep[1:] = (letters[1:] != 0) | (letters[:-1] != 0)
-    letters = letters[keep]
-    return (letters[:-2] << 14) | (letters[1:-1] << 7) | letters[2:] if len(letters) > 2 else np.zeros(0, np.int64)
+    letters, owner = letters[keep].astype(np.int64), owner[keep]
+    if len(letters) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    inside = (letters[1:-1] != 0) | (owner[:-2] == owner[2:])  # a blank between two parts joins nothing
+    grams = (letters[:-2] << 14) | (letters[1:-1] << 7) | letters[2:]
+    return grams[inside], owner[1:-1][inside]
 
 
 class Profiles:
@@ -113,21 +131,16 @@ class Profiles:
             at = self._at[grams]
         return self._scores[at]
 
-    def score(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Dot products (segment by language) and squared vector lengths of many segments."""
-        sizes = np.array([len(p) for p in parts])
+    def score(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Dot products (part by language) and number of n-grams of many parts of texts."""
+        grams, owner = trigrams(parts)
+        sizes = np.bincount(owner, minlength=len(parts))
         sums = np.zeros((len(parts), len(self.languages)), np.float32)
-        squares = np.zeros(len(parts), np.float32)
         full = np.flatnonzero(sizes)
         if len(full):
-            grams = np.concatenate([parts[i] for i in full])
             starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
             sums[full] = np.add.reduceat(self.gram_scores(grams), starts, axis=0)
-            key = np.sort(np.repeat(np.arange(len(full)), sizes[full]) << 21 | grams)
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            runs = np.diff(np.concatenate([first, [len(key)]])).astype(np.float32)
-            squares[full] = np.bincount(key[first] >> 21, runs * runs, len(full))
-        return sums, squares
+        return sums, sizes
 
 
 def prose_lines(text: str) -> list[tuple[int, str]]:
@@ -142,65 +155,82 @@ def prose_lines(text: str) -> list[tuple[int, str]]:
     return out
 
 
-def _smooth(scores: np.ndarray, owner: np.ndarray) -> np.ndarray:
-    """Each line's scores with half of those of the lines before and after in its document."""
+def units(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, words) of what gets one language: the sentences of the prose lines."""
+    out = []
+    for at, line in prose_lines(text):
+        start = 0
+        if len(line) > 80:
+            for m in SENTENCE.finditer(line):
+                if m.end() < len(line):
+                    out.append((at + start, at + m.end(), words_of(line[start : m.end()])))
+                    start = m.end()
+        out.append((at + start, at + len(line), words_of(line[start:])))
+    return out
+
+
+def _smooth(scores: np.ndarray, sizes: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Scores in which short units also count half of what stands before and after them in their document."""
     out = scores.copy()
     same = (owner[1:] == owner[:-1])[:, None]
-    out[1:] += 0.5 * scores[:-1] * same
-    out[:-1] += 0.5 * scores[1:] * same
+    short = (sizes < SHORT)[:, None]
+    out[1:] += 0.5 * scores[:-1] * (same & short[1:])
+    out[:-1] += 0.5 * scores[1:] * (same & short[:-1])
     return out
 
 
 def identify(texts: list[str | None], profiles: Profiles) -> list[list[tuple[int, int, str, int, float]]]:
     """Segments of every text: start, end (characters), language, characters of prose, confidence.
 
-    Every line gets the sum of its n-grams' scores, smoothed over its neighbours;
-    consecutive lines of one language form a segment. Its confidence is the lead of the
-    best cosine over the second best, in parts of the best: 0 if undecided, at most 1.
+    Every unit gets the language of the largest cosine, that is, of the largest sum of
+    its n-grams' scores; consecutive units of one language form a segment. Its confidence
+    is the lead of the best cosine over the second best, in parts of the best: 0 if
+    undecided, at most 1.
     """
     owner, spans, parts = [], [], []
     for i, t in enumerate(texts):
-        for at, line in prose_lines(t) if t else ():
+        for start, end, words in units(t) if t else ():
             owner.append(i)
-            spans.append((at, at + len(line), len(line.strip())))
-            parts.append(trigrams(CODE.sub(" ", line)))
+            spans.append((start, end, len(t[start:end].strip())))
+            parts.append(words)
     found: list[list[tuple[int, int, str, int, float]]] = [[] for _ in texts]
     if not parts:
         return found
     own = np.array(owner)
-    sums, _ = profiles.score(parts)
-    best = _smooth(sums, own).argmax(1)
+    sums, sizes = profiles.score(parts)
+    best = _smooth(sums, sizes, own).argmax(1)
     cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (best[1:] != best[:-1])]))
     ends = np.concatenate([cuts[1:], [len(own)]])
     totals = np.add.reduceat(sums, cuts, axis=0)
     ranked = np.sort(totals, axis=1)
-    lead = np.where(ranked[:, -1] > 0, (ranked[:, -1] - np.maximum(ranked[:, -2], 0)) / np.maximum(ranked[:, -1], 1e-9), 0)
-    for k, (a, b) in enumerate(zip(cuts, ends)):
-        found[own[a]].append((spans[a][0], spans[b - 1][1], profiles.languages[best[a]], sum(s[2] for s in spans[a:b]), float(lead[k])))
+    second = ranked[:, -2] if ranked.shape[1] > 1 else np.zeros(len(ranked))
+    lead = np.where(ranked[:, -1] > 0, (ranked[:, -1] - np.maximum(second, 0)) / np.maximum(ranked[:, -1], 1e-9), 0)
+    chars = np.add.reduceat(np.array([s[2] for s in spans]), cuts)
+    for k, (a, b) in enumerate(zip(cuts.tolist(), ends.tolist())):
+        found[owner[a]].append((spans[a][0], spans[b - 1][1], profiles.languages[best[a]], int(chars[k]), float(lead[k])))
     return found
 
 
 def fit(sample: list[tuple[str, str]], languages: list[str], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Profiles:
     """Prototypes from (language, text). Some labels are wrong: after the first bundling
-    every line is assigned to its nearest prototype, and prototypes are built again."""
-    lines = [(languages.index(lang), trigrams(CODE.sub(" ", line))) for lang, text in sample for _, line in prose_lines(text)]
-    lines = [(k, g) for k, g in lines if len(g) >= 20]
-    assigned = np.array([k for k, _ in lines], int)
-    profiles = Profiles(languages, dimensions=dimensions)
+    every unit is assigned to its nearest prototype, and prototypes are built again."""
+    labelled = [(languages.index(lang), words) for lang, text in sample for _, _, words in units(text) if len(words) >= SHORT]
+    parts = [words for _, words in labelled]
+    grams, owner = trigrams(parts)
+    assigned = np.array([k for k, _ in labelled], int)
+    profiles = Profiles(languages, np.zeros((len(languages), dimensions), np.float32), dimensions)
     for step in range(rounds + 1):
-        bundles = []
-        for k in range(len(languages)):
-            mine = [g for (_, g), a in zip(lines, assigned) if a == k]
-            bundles.append(profiles.bundle(np.concatenate(mine)) if mine else np.zeros(dimensions, np.float32))
-        units = np.array(bundles)
-        units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-9)
+        mine = assigned[owner] if len(owner) else owner
+        bundles = np.array([profiles.bundle(grams[mine == k]) for k in range(len(languages))])
+        lengths = np.linalg.norm(bundles, axis=1, keepdims=True)
+        lengths = np.maximum(lengths, 1e-9)
+        present = lengths > 1e-9
         # what all languages share tells nothing; the prototypes are what is left
-        shared = units[np.linalg.norm(units, axis=1) > 0].mean(0) if len(lines) else 0
-        present = (np.linalg.norm(units, axis=1) > 0)[:, None]
-        profiles = Profiles(languages, np.where(present, units - shared, 0).astype(np.float32), dimensions)
-        if step < rounds and lines:
-            sums, _ = profiles.score([g for _, g in lines])
-            assigned = sums.argmax(1)
+        shared = (bundles / lengths)[present[:, 0]].mean(0) if present.any() else 0
+        alone = present.sum() < 2
+        profiles = Profiles(languages, np.where(present, bundles / lengths - (0 if alone else shared), 0).astype(np.float32), dimensions)
+        if step < rounds and parts:
+            assigned = profiles.score(parts)[0].argmax(1)
     return profiles
 
 

@@ -60,9 +60,29 @@ def land(probabilities: list[float], rng: random.Random) -> list[float]:
 
 
 def _settle(p: list[float], sizes: list[float], seed: str, final: bool) -> list[float]:
+    """Flights over units in falling size, stratum by stratum, each twice the one before.
+
+    A large unit among small ones hardly moves and would be left over at the end, where
+    deciding it moves the total. So each stratum but the last lands at once, and what
+    that adds to the total or takes from it is spread over the next stratum's
+    probabilities. Only units among the smallest are left undecided.
+    """
     rng = random.Random(seed)
-    p = flight(p, sizes, rng)
-    return land(p, rng) if final else p
+    out: list[float] = []
+    excess, width = 0.0, 32
+    while len(out) < len(p):
+        start, end = len(out), len(out) + width
+        end = end if len(p) - end > width else len(p)
+        own, t = p[start:end], sizes[start:end]
+        shift = excess / sum(t)
+        own = [min(1.0, max(0.0, x - shift)) if 0 < x < 1 else x for x in own]
+        moved = flight(own, t, rng)
+        if final or end < len(p):
+            moved = land(moved, rng)
+        excess += sum((m - x) * s for m, x, s in zip(moved, p[start:end], t))
+        out += moved
+        width *= 2
+    return out
 
 
 class Mix:
@@ -75,7 +95,8 @@ class Mix:
     method balanced on the number and the tokens of documents. Null and empty texts have
     no tokens and are never taken; documents of other or null sources are left out; a
     target without documents reaches a share of 0. Shares are reported against all tokens
-    chosen.
+    chosen and against T: where some sources are too small for their share, the others
+    keep theirs of T and make up more of what is chosen.
 
     Documents of a source are cut into blocks of about 4,096 by a hash; each block ends
     with at most two undecided documents, which go through a second flight per source.
@@ -106,7 +127,7 @@ class Mix:
 
         def settle(final: bool):
             def work(keys: tuple, t: pa.Table) -> pa.Table:
-                t = t.sort_by([(key, "ascending"), ("tokens", "ascending")])
+                t = t.sort_by([("tokens", "descending"), (key, "ascending")])  # so that the last undecided are small
                 name = "/".join([str(seed), *[str(k.as_py()) for k in keys]])
                 p = _settle(t.column("p").to_pylist(), [float(x) for x in t.column("tokens").to_pylist()], name, final)
                 return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
@@ -119,10 +140,11 @@ class Mix:
         return decided.select(key, "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("copies")).filter("copies > 0")
 
     def report(self) -> DataFrame:
-        """source, target_share, documents, own_tokens, wanted_tokens, capped, chosen_documents, max_copies, chosen_tokens, actual_share."""
+        """source, target_share, documents, own_tokens, wanted_tokens, capped, chosen_documents, max_copies, chosen_tokens, actual_share, share_of_budget."""
         mine = self.chosen().groupBy("source").agg(F.count("*").alias("chosen_documents"), F.max("copies").alias("max_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("chosen_tokens"))
         rows = self.plan.join(mine, "source", "left").na.fill(0, ["chosen_documents", "max_copies", "chosen_tokens"])
         total = mine.agg(F.sum("chosen_tokens").alias("total"))
         share = F.coalesce(F.col("chosen_tokens") / F.col("total"), F.lit(0.0))
+        of_budget = F.coalesce(F.col("chosen_tokens") / F.nullif("all_tokens", F.lit(0)), F.lit(0.0))
         rows = rows.crossJoin(F.broadcast(total))  # one row
-        return rows.select("source", "target_share", "max_repeats", "documents", "own_tokens", "wanted_tokens", "capped", "chosen_documents", "max_copies", "chosen_tokens", F.round(share, 6).alias("actual_share"))
+        return rows.select("source", "target_share", "max_repeats", "documents", "own_tokens", "wanted_tokens", "capped", "chosen_documents", "max_copies", "chosen_tokens", F.round(share, 6).alias("actual_share"), F.round(of_budget, 6).alias("share_of_budget"))
