@@ -44,10 +44,10 @@ def rolling_totals(
         .filter(F.col("entity").isNotNull() & F.col("day").isNotNull())
         .groupBy("entity", "day")
         .agg(F.count("*").alias("_rows"), *[F.sum(m).alias(m) for m in measures])
-        .repartition("entity")
     )
     amounts = ["_rows", *measures]
     first, last = F.lit(start), F.lit(end)
+    never, nothing = F.lit(False), F.lit(0)
 
     def part(at, sign: int, on: dict[int, object], own: object):
         fields = [at.alias("day"), own.cast("long").alias("own")]
@@ -55,13 +55,17 @@ def rolling_totals(
             fields += [F.when(on[w], sign * F.col(a)).otherwise(F.lit(0)).cast("long").alias(f"{a}_{w}") for a in amounts]
         return F.struct(*fields)
 
-    never, nothing = F.lit(False), F.lit(0)
-    adds = part(F.greatest(F.col("day"), first), 1, {w: F.date_add("day", w) > first for w in windows}, F.when(F.col("day") >= first, F.col("_rows")).otherwise(nothing))
-    takes = [part(F.greatest(F.date_add("day", w), first), -1, {v: (F.date_add("day", w) > first) if v == w else never for v in windows}, nothing) for w in windows]
-    deltas = daily.filter(F.col("day") <= last).select("entity", F.inline(F.array(adds, *takes))).filter(F.col("day") <= last)
-    calendar = daily.select("entity").dropDuplicates().select("entity", F.explode(F.sequence(first, last)).alias("day"))
-    empty = [nothing.cast("long").alias(c) for c in deltas.columns[2:]]
-    changes = deltas.unionByName(calendar.select("entity", "day", *empty)).groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in deltas.columns[2:]])
+    # an entity's first row also brings its calendar, so facts are read once
+    leads = F.row_number().over(Window.partitionBy("entity").orderBy("day")) == 1
+    daily = daily.withColumn("_leads", leads)
+    counts = F.col("day") <= last
+    reach = {w: counts & (F.date_add("day", w) > first) for w in windows}
+    adds = part(F.greatest(F.least(F.col("day"), last), first), 1, reach, F.when(counts & (F.col("day") >= first), F.col("_rows")).otherwise(nothing))
+    takes = [part(F.greatest(F.date_add("day", w), first), -1, {v: reach[v] if v == w else never for v in windows}, nothing) for w in windows]
+    blank = F.transform(F.sequence(first, last), lambda at: part(at, 1, dict.fromkeys(windows, never), nothing))
+    calendar = F.when(F.col("_leads"), blank).otherwise(F.slice(blank, 1, 0))
+    deltas = daily.select("entity", F.inline(F.concat(F.array(adds, *takes), calendar))).filter(F.col("day") <= last)
+    changes = deltas.groupBy("entity", "day").agg(*[F.sum(c).alias(c) for c in deltas.columns[2:]])
     running = Window.partitionBy("entity").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     totals = changes.select("entity", "day", F.col("own").alias("rows_on_day"), *[F.sum(c).over(running).alias(c) for c in deltas.columns[3:]])
     out = [F.col("entity").alias(entity), F.col("day").alias(day), F.col("rows_on_day")]
