@@ -57,6 +57,12 @@ def distinct_rows(df: DataFrame, ignore: tuple[str, ...], **keep: Column) -> Dat
     return narrow.dropDuplicates().drop("_fp1", "_fp2")
 
 
+def one_row(df: DataFrame) -> Column:
+    """The only row of ``df`` as a struct Column for use in any other frame: a scalar
+    subquery, evaluated once, instead of a join."""
+    return df.select(F.struct(*df.columns)).scalar()
+
+
 def blank_trim(c: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.common import cut
+from lodestone.common import cut, one_row
 
 RRF_K = 60
 
@@ -44,7 +44,7 @@ def min_max(scored: DataFrame) -> DataFrame:
     """Scores scaled to [0, 1]; all 1 where they hardly differ."""
     ends = scored.agg(F.min("score").alias("_low"), F.max("score").alias("_high"))
     span = F.col("_high") - F.col("_low")
-    both = scored.crossJoin(F.broadcast(ends))  # one row
+    both = scored.withColumn("_e", one_row(ends)).select(*scored.columns, "_e.*")
     return both.withColumn("score", F.when(span < 1e-12, 1.0).otherwise((F.col("score") - F.col("_low")) / span)).drop("_low", "_high")
 
 

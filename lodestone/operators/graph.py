@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.common import cut
+from lodestone.common import cut, one_row
 from lodestone.functions.text import last_segment
 from lodestone.operators.fusion import within_budget
 
@@ -132,7 +132,7 @@ DAMPING = 0.85
 def _step(ranks: DataFrame, incoming: DataFrame, outgoing: DataFrame) -> DataFrame:
     """x' = d * incoming + d * (rank of nodes without edges) * p + (1 - d) * p."""
     loose = ranks.join(outgoing, "node", "left_anti").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("_loose"))
-    rows = ranks.join(incoming, "node", "left").crossJoin(F.broadcast(loose))  # one row
+    rows = ranks.join(incoming, "node", "left").withColumn("_loose", one_row(loose)["_loose"])
     value = DAMPING * F.coalesce("y", F.lit(0.0)) + DAMPING * F.col("_loose") * F.col("p") + (1 - DAMPING) * F.col("p")
     return rows.select("node", "p", value.alias("x"))
 
@@ -140,7 +140,7 @@ def _step(ranks: DataFrame, incoming: DataFrame, outgoing: DataFrame) -> DataFra
 def _iterate(nodes: DataFrame, spread, outgoing: DataFrame, iterations: int, every: int, tolerance: float | None) -> DataFrame:
     count = nodes.count()
     total = nodes.agg(F.sum("p").alias("_sum"))
-    ranks = nodes.crossJoin(F.broadcast(total)).select("node", (F.col("p") / F.col("_sum")).alias("p"), F.lit(1.0 / max(count, 1)).alias("x"))  # one row
+    ranks = nodes.withColumn("_sum", one_row(total)["_sum"]).select("node", (F.col("p") / F.col("_sum")).alias("p"), F.lit(1.0 / max(count, 1)).alias("x"))
     ranks = cut(ranks)
     for i in range(1, iterations + 1):
         new = _step(ranks, spread(ranks), outgoing)

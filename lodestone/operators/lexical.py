@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.common import one_row
 from lodestone.functions.text import TOKEN, tokenize
 
 K1, B = 1.5, 0.75
@@ -57,7 +58,7 @@ def bm25(docs: DataFrame, key: str, queries: dict[str, str], text: str = "text",
     rows = docs.filter(F.col(text).isNotNull()).select(key, (weight if weight is not None else F.lit(1.0)).alias("_w"), tokens.alias("_tokens"))
     hits = rows.select(key, "_w", F.size("_tokens").alias("dl"), F.filter("_tokens", lambda t: t.isin(every)).alias("hits"))
     counts = hits.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("hits", t)).alias(f"df_{i}") for i, t in enumerate(every)])
-    both = hits.crossJoin(F.broadcast(counts))  # one row
+    both = hits.withColumn("_c", one_row(counts)).select("*", "_c.*")
     norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
 
     def part(term: str) -> Column:

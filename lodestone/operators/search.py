@@ -82,7 +82,7 @@ class Searcher:
 
     def _results(self, scored: DataFrame, k: int) -> DataFrame:
         """doc_path, chunk_id, chunk_text, chunk_offset, score (and context), best first. ``scored`` holds at most a few rows."""
-        rows = self.chunks.join(F.broadcast(scored), "id").join(self.documents.select("doc_id", "collection", "path"), "doc_id")
+        rows = self.chunks.select("id", "doc_id", "content", "start_offset").join(F.broadcast(scored), "id").join(self.documents.select("doc_id", "collection", "path"), "doc_id")
         best = fusion.top(fusion.best_per(rows, "path", "id"), "id", k)
         if self.contexts is not None:
             from lodestone.operators.indexing import path_context
