@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.common import blank_trim, cut
+from lodestone.common import blank_trim, cut, one_row
 from lodestone.llm.tokens import token_counts
 
 BLOCK = 4096  #: documents of one source that go through the flight phase together
@@ -110,7 +110,7 @@ class Mix:
         self.sizes = cut(token_counts(named, [key, "source"], "text", **tokenizer).filter("tokens > 0"))
         own = self.sizes.groupBy("source").agg(F.count("*").alias("documents"), F.sum("tokens").alias("own_tokens"))
         everything = own.agg(F.sum("own_tokens").alias("all_tokens"))
-        plan = self.targets.join(own, "source", "left").crossJoin(F.broadcast(everything)).na.fill(0, ["documents", "own_tokens", "all_tokens"])  # one row
+        plan = self.targets.join(own, "source", "left").withColumn("all_tokens", one_row(everything)["all_tokens"]).na.fill(0, ["documents", "own_tokens", "all_tokens"])
         wanted, most = F.col("target_share") * F.col("all_tokens"), F.col("max_repeats") * F.col("own_tokens")
         rate = F.when(F.col("own_tokens") > 0, F.least(wanted, most.cast("double")) / F.col("own_tokens")).otherwise(F.lit(0.0))
         self.plan = cut(plan.select("*", wanted.alias("wanted_tokens"), (wanted > most).alias("capped"), rate.alias("rate")))  # a row a target
@@ -146,5 +146,5 @@ class Mix:
         total = mine.agg(F.sum("chosen_tokens").alias("total"))
         share = F.coalesce(F.col("chosen_tokens") / F.col("total"), F.lit(0.0))
         of_budget = F.coalesce(F.col("chosen_tokens") / F.nullif("all_tokens", F.lit(0)), F.lit(0.0))
-        rows = rows.crossJoin(F.broadcast(total))  # one row
+        rows = rows.withColumn("total", one_row(total)["total"])
         return rows.select("source", "target_share", "max_repeats", "documents", "own_tokens", "wanted_tokens", "capped", "chosen_documents", "max_copies", "chosen_tokens", F.round(share, 6).alias("actual_share"), F.round(of_budget, 6).alias("share_of_budget"))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.common import cut
+from lodestone.common import cut, one_row
 from lodestone.llm.tokens import token_counts
 
 GROUP = 4096  #: items that are packed together
@@ -64,7 +64,8 @@ def pack(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
     """
     sizes = cut(token_counts(documents.filter(F.octet_length(text) > 0), [key], text, head=True, **tokenizer))
     capacity = F.col("capacity_tokens")
-    rows = sizes.filter("tokens > 0").crossJoin(F.broadcast(limits.select("pack_id", "capacity_tokens")))  # each document for each capacity asked for
+    asked = one_row(limits.agg(F.collect_list(F.struct("pack_id", "capacity_tokens")).alias("all")))["all"]  # a few capacities
+    rows = sizes.filter("tokens > 0").withColumn("_asked", asked).select(key, "tokens", "head_tokens", F.inline("_asked"))
     n = F.ceil(F.col("tokens") / capacity).cast("int")
     rows = rows.select("pack_id", "capacity_tokens", key, "tokens", "head_tokens", n.alias("pieces"), F.posexplode(F.sequence(F.lit(1), n)).alias("piece", "_")).drop("_")
     start = F.col("piece") * capacity
