@@ -26,7 +26,8 @@ PER_LANGUAGE = 400  #: documents per language that prototypes are fitted on, at
 LONGEST = 20000  #: documents with more characters aren't used for fitting
 ROUNDS = 2  #: times the fitted segments are assigned anew and prototypes rebuilt
 LETTERS = 128
-SHORT = 30  #: units with fewer n-grams lean on their neighbours
+SHORT = 20  #: units with fewer n-grams lean on their neighbours
+LEAST = 10  #: characters of a unit that prototypes are fitted on
 SENTENCE = re.compile(r"[.!?]+\s+|\u3002")
 FENCE = re.compile(r"^ {0,3}(```|~~~)")
 INLINE = re.compile(r"`[^`]*`")
@@ -214,7 +215,7 @@ def identify(texts: list[str | None], profiles: Profiles) -> list[list[tuple[int
 def fit(sample: list[tuple[str, str]], languages: list[str], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Profiles:
     """Prototypes from (language, text). Some labels are wrong: after the first bundling
     every unit is assigned to its nearest prototype, and prototypes are built again."""
-    labelled = [(languages.index(lang), words) for lang, text in sample for _, _, words in units(text) if len(words) >= SHORT]
+    labelled = [(languages.index(lang), words) for lang, text in sample for _, _, words in units(text) if len(words) >= LEAST]
     parts = [words for _, words in labelled]
     grams, owner = trigrams(parts)
     assigned = np.array([k for k, _ in labelled], int)
