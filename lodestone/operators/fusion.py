@@ -64,7 +64,7 @@ def within_budget(ranked: DataFrame, cost: str, order: list[Column], budget: int
     As each row costs ``least_cost`` or more, no more than budget / least_cost rows can
     fit; only so many are sorted and summed.
     """
-    few = ranked.orderBy(*order).limit(budget // least_cost + 1 + at_least)
+    few = ranked.orderBy(*order).limit(max(budget, 0) // least_cost + 1 + at_least)
     run = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = few.withColumn("pos", F.row_number().over(Window.orderBy(*order)) - 1).withColumn("used", F.sum(cost).over(run))
     return summed.filter((F.col("used") <= budget) | (F.col("pos") < at_least))
