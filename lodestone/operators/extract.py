@@ -2,14 +2,17 @@
 
 Source code needs a parser, so these run as Python over Arrow batches: the ``ast`` module
 for Python, line patterns for the other languages. Malformed code gives what was
-recognised; null and empty texts give nothing.
+recognised (Python that doesn't parse is read by statements, the broken ones by lines);
+null and empty texts give nothing.
 """
 
 from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from keyword import iskeyword
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,45 +23,150 @@ from lodestone.sources.scan import language
 # -- signatures ---------------------------------------------------------------------------
 
 
-def _params(node: ast.FunctionDef | ast.AsyncFunctionDef) -> str:
-    return f"({ast.unparse(node.args)})"
+Found = tuple[list[str], list[str], list[tuple], list[tuple], list[tuple]]
+_BROKEN = (SyntaxError, ValueError, RecursionError, MemoryError)
 
 
-def _python(code: str) -> tuple[list[str], list[str], list[tuple], list[tuple], list[tuple]]:
+def _params(node: ast.FunctionDef | ast.AsyncFunctionDef, code: str) -> str:
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return [], [], [], [], []
+        return f"({ast.unparse(node.args)})"
+    except RecursionError:
+        rest = "\n".join(code.split("\n")[node.lineno - 1 :])
+        m = _PY_DEF.search(rest)
+        return _bracket(rest, _quiet(rest), m.end() - 1) if m else "()"
+
+
+def _tree(code: str) -> tuple[ast.AST, int] | None:
+    """Tree and the lines put before the code; code that is indented as a whole is read as a block."""
+    for before in ("", "if 1:\n"):
+        try:
+            return ast.parse(before + code), bool(before)
+        except _BROKEN:
+            pass
+    return None
+
+
+def _python(code: str) -> Found:
+    """By Python's parser; if it rejects the file, each statement of the top level for itself,
+    and by lines only those that it rejects."""
+    code = code.removeprefix("\ufeff").replace("\0", "").replace("\r\n", "\n").replace("\r", "\n")
+    if (whole := _tree(code)) is not None:
+        return _by_tree(code, *whole)
+    found: Found = [], [], [], [], []
+    for first, block in _blocks(code):
+        tree = _tree(block)
+        part = _by_tree(block, *tree) if tree else _python_lines(block)
+        for all_rows, rows in zip(found, part):
+            all_rows.extend(rows if rows and isinstance(rows[0], str) else [(*r[:-1], r[-1] + first) for r in rows])
+    return found
+
+
+def _by_tree(code: str, tree: ast.AST, before: int) -> Found:
     sigs, refs, defs, calls, imports = [], [], [], [], []
+    stack = [(ast.iter_child_nodes(tree), 0, False)]  # no recursion: long expressions are deep trees
+    while stack:
+        children, depth, inside = stack[-1]
+        child = next(children, None)
+        if child is None:
+            stack.pop()
+            continue
+        line = getattr(child, "lineno", 0) - before
+        below = depth, inside and isinstance(child, (ast.If, ast.Try, ast.With))
+        if isinstance(child, ast.ClassDef):
+            sigs.append("  " * depth + f"class {child.name}")
+            defs.append((child.name, "class", line))
+            below = depth + 1, True
+        elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+            sigs.append("  " * depth + f"  def {child.name}{_params(child, 'if 1:' + chr(10) + code if before else code)}")
+            defs.append((child.name, "method" if inside else "function", line))
+            below = depth, False
+        elif isinstance(child, ast.Import):
+            names = [a.name for a in child.names]
+            refs.extend(n.rsplit(".", 1)[-1] for n in names)
+            imports.extend((n, line) for n in names)
+        elif isinstance(child, ast.ImportFrom):
+            refs.extend(a.name for a in child.names)
+            imports.append((child.module or "." * child.level, line))
+        elif isinstance(child, ast.Call):
+            name = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", None)
+            if name:
+                calls.append((name, line))
+        stack.append((ast.iter_child_nodes(child), *below))
+    return sigs, refs, defs, calls, imports
 
-    def visit(node: ast.AST, depth: int, inside: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, ast.ClassDef):
-                sigs.append("  " * depth + f"class {child.name}")
-                defs.append((child.name, "class", child.lineno))
-                visit(child, depth + 1, True)
-            elif isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                sigs.append("  " * depth + f"  def {child.name}{_params(child)}")
-                defs.append((child.name, "method" if inside else "function", child.lineno))
-                visit(child, depth, False)
-            else:
-                if isinstance(child, ast.Import):
-                    names = [a.name for a in child.names]
-                    refs.extend(n.rsplit(".", 1)[-1] for n in names)
-                    imports.extend((n, child.lineno) for n in names)
-                elif isinstance(child, ast.ImportFrom):
-                    refs.extend(a.name for a in child.names)
-                    imports.append((child.module or "." * child.level, child.lineno))
-                elif isinstance(child, ast.Call):
-                    name = child.func.attr if isinstance(child.func, ast.Attribute) else getattr(child.func, "id", None)
-                    if name:
-                        calls.append((name, child.lineno))
-                visit(child, depth, inside and isinstance(child, (ast.If, ast.Try, ast.With)))
 
-    try:
-        visit(tree, 0, False)
-    except RecursionError:
-        pass
+#: Strings and comments; f-strings are kept, as they may hold calls.
+_PY_QUIET = re.compile(r"""#[^\n]*|(?<!\w)([A-Za-z]{0,2})(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*')""")
+_PY_DEF = re.compile(r"^([ \t]*)(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*(?:\[[^\]\n]*\])?[ \t]*\(", re.M)
+_PY_CLASS = re.compile(r"^([ \t]*)class[ \t]+(\w+)", re.M)
+_PY_IMPORT = re.compile(r"(?:^|;)[ \t]*(?:from[ \t]+(\.*)[ \t]*([\w.]*)[ \t]+import[ \t]*(\([^)]*\)?|[^;\n]+)|import[ \t]+([\w.]+(?:[ \t]+as[ \t]+\w+)?(?:[ \t]*,[ \t]*[\w.]+(?:[ \t]+as[ \t]+\w+)?)*))", re.M)
+_PY_CALL = re.compile(r"(?<!\w)(?:(def|class|function)\s+)?([^\W\d]\w*)[ \t]*(?:\[[^\]\n]*\][ \t]*)?\(")
+#: A line that goes on with the statement before it.
+_PY_ON = re.compile(r"[ \t#)\]}]|(?:else|elif|except|finally)\b|$")
+
+
+def _blocks(code: str) -> Iterator[tuple[int, str]]:
+    """Statements of the top level with the number of lines before each; decorators stay with what follows."""
+    lines, start = code.split("\n"), 0
+    decorated = False
+    for i, line in enumerate(lines):
+        if _PY_ON.match(line):
+            continue
+        if i > start and not decorated:
+            yield start, "\n".join(lines[start:i])
+            start = i
+        decorated = line.startswith("@")
+    yield start, "\n".join(lines[start:])
+
+
+def _quiet(code: str) -> str:
+    """Blanks for strings, comments and line continuations; every character keeps its place."""
+    return _PY_QUIET.sub(lambda m: m[0] if "f" in (m[1] or "").lower() else re.sub(r"[^\n]", " ", m[0]), code).replace("\\\n", "  ")
+
+
+def _bracket(code: str, quiet: str, at: int) -> str:
+    """The bracket that opens at ``at``, in one line, up to its end or that of the line where it is never closed."""
+    depth = 0
+    for m in re.compile(r"[()]").finditer(quiet, at):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            return re.sub(r"\s*\n\s*", " ", code[at : m.end()])
+    return code[at:].split("\n", 1)[0].rstrip(" \t:")
+
+
+def _python_lines(code: str) -> Found:
+    """What line patterns recognise in Python that doesn't parse; columns tell what is inside a class."""
+    sigs, refs, defs, calls, imports = [], [], [], [], []
+    quiet = _quiet(code)
+    starts = [0, *[m.end() for m in re.finditer("\n", code)]]
+    number = lambda at: bisect_right(starts, at)
+    outer: list[tuple[int, bool]] = []
+    for at, m in sorted((m.start(2), m) for p in (_PY_DEF, _PY_CLASS) for m in p.finditer(quiet)):
+        column, is_class = len(m[1].expandtabs()), m.re is _PY_CLASS
+        while outer and outer[-1][0] >= column:
+            outer.pop()
+        depth, inside = sum(c for _, c in outer), bool(outer) and outer[-1][1]
+        if is_class:
+            sigs.append("  " * depth + f"class {m[2]}")
+        else:
+            params = _bracket(code, quiet, m.end() - 1)
+            try:
+                params = f"({ast.unparse(ast.parse(f'def _{params}: pass').body[0].args)})"
+            except _BROKEN:
+                pass
+            sigs.append("  " * depth + f"  def {m[2]}{params}")
+        defs.append((m[2], "class" if is_class else "method" if inside else "function", number(at)))
+        outer.append((column, is_class))
+    for m in _PY_IMPORT.finditer(quiet):
+        line = number(m.end(0) - len(m[0].lstrip("; \t")))
+        if m[4]:
+            names = [n.split()[0] for n in m[4].split(",")]
+            refs.extend(n.rsplit(".", 1)[-1] for n in names)
+            imports.extend((n, line) for n in names)
+        elif m[1] or m[2]:
+            refs.extend(re.findall(r"(?:^|,)\s*(\w+|\*)", m[3].strip("()")))
+            imports.append((m[2] or m[1], line))
+    calls.extend((m[2], number(m.start(2))) for m in _PY_CALL.finditer(quiet) if not m[1] and not iskeyword(m[2]))
     return sigs, refs, defs, calls, imports
 
 
