@@ -249,20 +249,102 @@ _REF = {
 _REF["tsx"] = _REF["typescript"]
 
 
-def _by_lines(code: str, lang: str) -> tuple[list[str], list[str], list[tuple], list[tuple], list[tuple]]:
+#: Longer lines are read by statements, as bundlers put whole programs into one line.
+LONG = 2000
+_MARK = re.compile(r"[({;})]")
+#: The same patterns for a statement within a line: at a position instead of the line's start.
+_WITHIN = {lang: [(re.compile(re.sub(r"^\^(?:\\s[*+])?", r"\\s*", p.pattern)), kind, sig) for p, kind, sig in rules] for lang, rules in _RULES.items()}
+_FROM = r"(?:^|(?<=[;{}]))\s*"
+_IMPORTS_WITHIN = {
+    "typescript": re.compile(_FROM + r"import\b[^;'\"]*?from\s*['\"]([^'\"]+)['\"]"),
+    "javascript": re.compile(r"(?:" + _FROM + r"import\b[^;'\"]*?from\s*|require\()['\"]([^'\"]+)['\"]"),
+    "ruby": re.compile(_FROM + r"require(?:_relative)?\s+['\"]([^'\"]+)['\"]"),
+    "groovy": re.compile(_FROM + r"import\s+(?:static\s+)?([\w.]+)"),
+    "rust": re.compile(_FROM + r"(?:pub\s+)?use\s+([^;]+)(?=;)"),
+    "java": re.compile(_FROM + r"import\s+(?:static\s+)?([\w.*]+)(?=;)"),
+    "go": re.compile(_FROM + r"import\s+(?:\w+\s+)?\"([^\"]+)\""),
+}
+_IMPORTS_WITHIN["tsx"] = _IMPORTS_WITHIN["typescript"]
+_REFS_WITHIN = {
+    "typescript": re.compile(_FROM + r"import\b\s*(?:type\s+)?([^;'\"]+?)\s*from\b|\b(?:extends|implements)\s+([\w$, .]+)"),
+    "ruby": re.compile(_FROM + r"class\s+[^\s;]+\s*<\s*([\w:]+)|" + _FROM + r"(?:include|extend|prepend)\s+([\w:]+)"),
+    "groovy": re.compile(_FROM + r"import\s+(?:static\s+)?[\w.]*?(\w+)\s*(?=;|$)|\bextends\s+(\w+)"),
+}
+_REFS_WITHIN["tsx"] = _REFS_WITHIN["typescript"]
+
+
+def _statements(line: str) -> Iterator[tuple[int, int]]:
+    """Start and end of every statement's head in the line, nested ones too: up to the first
+    brace or semicolon that is not in a bracket which opens after the start. Heads overlap."""
+    marks = [(m.start(), m[0]) for m in _MARK.finditer(line)]
+    after: list[int] = [0] * len(marks)  # of an opening bracket: the mark behind its end
+    opened: list[int] = []
+    for i, (_, c) in enumerate(marks):
+        if c == "(":
+            opened.append(i)
+            after[i] = i + 1
+        elif c == ")" and opened:
+            after[opened.pop()] = i + 1
+    # From the last mark to the first: where a head that comes to this mark ends.
+    ends = [len(line)] * (len(marks) + 1)
+    for i in range(len(marks) - 1, -1, -1):
+        at, c = marks[i]
+        ends[i] = ends[after[i]] if c == "(" else at if c == ")" else at + 1
+    yield 0, ends[0]
+    for i, (at, c) in enumerate(marks):
+        if c in "{;}":
+            yield at + 1, ends[i + 1]
+
+
+def _define(m: re.Match, lang: str, kind: str, shape: str) -> tuple[str, int, str]:
+    """Signature, the name's group and the name."""
+    groups = [g or "" for g in m.groups()]
+    at = 2 if lang == "java" and len(groups) == 4 else min(_NAME_GROUP.get(lang, 1) - 1, len(groups) - 1)
+    return shape.format("", *groups).strip(), at + 1, groups[at]
+
+
+def _long_line(line: str, lang: str, number: int, sigs: list, refs: list, defs: list, calls: list, imports: list) -> None:
+    """What :func:`_by_lines` finds, of every statement of the line."""
+    line, named = re.sub(r"\s+", " ", line), set()
+    for start, end in _statements(line):
+        if lang != "java" and line[end - 1 : end] in (";", "}"):
+            end -= 1
+        for pattern, kind, shape in _WITHIN.get(lang, ()):
+            m = pattern.match(line, start, end)
+            if m:
+                sig, group, name = _define(m, lang, kind, shape)
+                sigs.append(sig)
+                if kind:
+                    defs.append((name, kind, number))
+                    named.add(m.start(group))
+                break
+    if p := _IMPORTS_WITHIN.get(lang):
+        imports.extend((m[1].strip(), number) for m in p.finditer(line))
+    if p := _REFS_WITHIN.get(lang):
+        refs.extend(w for m in p.finditer(line) for g in m.groups() if g for w in re.findall(r"[\w$:]+", g) if w not in ("as", "type"))
+    found = [m[1] for m in _CALL.finditer(line) if m[1] not in _NOT_CALLED and m.start(1) not in named]
+    calls.extend((c, number) for c in found)
+    if lang in ("javascript", "rust", "java"):
+        refs.extend(found)
+
+
+def _by_lines(code: str, lang: str) -> Found:
     sigs, refs, defs, calls, imports = [], [], [], [], []
     for number, line in enumerate(code.split("\n"), 1):
-        line = line[:2000].rstrip("\r")
+        line = line.rstrip("\r")
+        if len(line) > LONG:
+            _long_line(line, lang, number, sigs, refs, defs, calls, imports)
+            continue
         name = None
         for pattern, kind, shape in _RULES.get(lang, ()):
             m = pattern.match(line)
             if m:
-                groups = [g or "" for g in m.groups()]
-                sigs.append(shape.format("", *groups).strip())
+                sig, _, name = _define(m, lang, kind, shape)
+                sigs.append(sig)
                 if kind:
-                    at = _NAME_GROUP.get(lang, 1) - 1
-                    name = groups[2] if lang == "java" and len(groups) == 4 else groups[min(at, len(groups) - 1)]
                     defs.append((name, kind, number))
+                else:
+                    name = None
                 break
         if (p := _IMPORT.get(lang)) and (m := p.search(line)):
             imports.append((m[1].strip(), number))
@@ -275,7 +357,7 @@ def _by_lines(code: str, lang: str) -> tuple[list[str], list[str], list[tuple],
     return sigs, refs, defs, calls, imports
 
 
-def parse(path_language: str | None, code: str | None) -> tuple[list[str], list[str], list[tuple], list[tuple], list[tuple]]:
+def parse(path_language: str | None, code: str | None) -> Found:
     """signatures, references, definitions (name, kind, line), calls (name, line), imports (module, line)."""
     if not code or not path_language:
         return [], [], [], [], []

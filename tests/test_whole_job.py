@@ -39,3 +39,13 @@ def test_python_that_does_not_parse():
 
 def test_python_with_deep_expressions():
     assert extract.parse("python", "x = " + "+".join(["1"] * 3000) + "\ndef f(): g()\n")[2:4] == ([("f", "function", 2)], [("g", 2)])
+
+
+def test_long_lines():
+    code = 'import{a as b}from"m1";var z=' + "x" * 30_000 + ";class A extends B{run(x={},y=1){go(x);run(1)}static stop(){}};export function f(a,b){return f(a-1)}!function(){function inner(q){k(q)}}();if(x){y(1)}"
+    sigs, refs, defs, calls, imports = extract.parse("typescript", code)
+    assert sigs == ["class A", "function run(x={},y=1)", "function stop()", "function f(a,b)", "function inner(q)"] and refs == ["a", "b", "B"]
+    assert defs == [("A", "class", 1), ("run", "method", 1), ("stop", "method", 1), ("f", "function", 1), ("inner", "function", 1)]
+    assert [c for c, _ in calls] == ["go", "run", "f", "k", "y"] and imports == [("m1", 1)]
+    java = "package x;import java.util.List;" + "int z;" * 500 + "public class J{public int size(List<T> a)throws X{return f(a);}}"
+    assert extract.parse("java", java) == (["class J", "public int size(List<T> a)"], ["f"], [("J", "class", 1), ("size", "method", 1)], [("f", 1)], [("java.util.List", 1)])
