@@ -19,6 +19,7 @@ SQL: dict[str, str] = {}
 QUERY = "token budget cache"
 TERMS = ["token", "budget", "cache"]
 FIXED = "2025-05-29"
+SEEDS = ["src"]
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -656,6 +657,7 @@ def route_symbols(s, d):
     c AS (SELECT *, sum(bytes) OVER (ORDER BY score DESC, path, doc_id ROWS UNBOUNDED PRECEDING) AS used, row_number() OVER (ORDER BY score DESC, path, doc_id) AS r FROM f)
     SELECT path, score, used::BIGINT AS used FROM c WHERE (23 + used) // 4 <= 2000 OR r = 1""")
 def repo_map_budget(s, d):
+    """The budget alone, over first lines, so that SQL can check it."""
     return repomap.fit(_map_files(s, d), 2000).select("path", "score", "used")
 
 
@@ -666,14 +668,26 @@ def _map_files(s, d):
     return files.join(scored, "doc_id").select("path", "sigs", F.round("score", 6).alias("score"))
 
 
+@query("repo_map_files")
+def repo_map_files(s, d):
+    ranked = repomap.by_words(repomap.corpus(load(s, d, "documents")), QUERY)
+    return repomap.fit(ranked, 2000).select("path", "score", "used")
+
+
+@query("repo_map_ranked")
+def repo_map_ranked(s, d):
+    ranked = repomap.by_graph(repomap.corpus(load(s, d, "documents")), QUERY, SEEDS)
+    return repomap.fit(ranked, 2000).select("path", "score", "used")
+
+
 @query("repo_map_text")
 def repo_map_text(s, d):
-    return repomap.text_map(repomap.fit(_map_files(s, d), 500))
+    return repomap.text_map(repomap.fit(repomap.by_words(repomap.corpus(load(s, d, "documents")), QUERY), 500))
 
 
 @query("repo_map_json")
 def repo_map_json(s, d):
-    return repomap.json_map(repomap.fit(_map_files(s, d), 500))
+    return repomap.json_map(repomap.fit(repomap.by_words(repomap.corpus(load(s, d, "documents")), QUERY), 500))
 
 
 # -- tables -------------------------------------------------------------------------------

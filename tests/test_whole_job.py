@@ -49,3 +49,63 @@ def test_long_lines():
     assert [c for c, _ in calls] == ["go", "run", "f", "k", "y"] and imports == [("m1", 1)]
     java = "package x;import java.util.List;" + "int z;" * 500 + "public class J{public int size(List<T> a)throws X{return f(a);}}"
     assert extract.parse("java", java) == (["class J", "public int size(List<T> a)"], ["f"], [("J", "class", 1), ("size", "method", 1)], [("f", 1)], [("java.util.List", 1)])
+
+
+def test_repo_map_of_signatures(spark):
+    import math
+
+    from lodestone.operators import repomap
+
+    texts = {
+        "src/cache.py": "from b import token_store\n\ndef cache(token, budget):\n    pass\nclass Cache:\n    pass\n",
+        "src/b.py": "import Cache\n\nclass token_store:\n    def get(self): pass\n",
+        "lib/c.ts": "export class Budget {\n}\nimport { Cache } from './cache';\n",
+        "lib/c.test.ts": "export class CacheBudget {\n}\n",
+        "lib/d.go": "func Other(a int) {\n",
+        "e.py": "# token budget cache\nx = 1\n",
+        "f.md": "token budget cache",
+    }
+    files = repomap.corpus(spark.createDataFrame(list(texts.items()), "path string, text string"))
+    corpus = {r.path: r for r in files.collect()}
+    assert set(corpus) == set(texts) - {"e.py", "f.md"} and corpus["src/cache.py"].sigs == ["  def cache(token, budget)", "class Cache"]
+
+    def brute_words():
+        import re
+
+        docs = {p: [t.lower() for t in re.findall("[0-9]+|[A-Z]{2,}|[A-Z][a-z0-9]*|[a-z][a-z0-9]*", p + " " + " ".join(r.sigs)) if len(t) > 2] for p, r in corpus.items()}
+        mean = sum(map(len, docs.values())) / len(docs)
+        out = {}
+        for p, words in docs.items():
+            out[p] = 0.0
+            for t in ("token", "budget", "cache"):
+                df, tf = sum(t in w for w in docs.values()), words.count(t)
+                out[p] += math.log((len(docs) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+            out[p] *= 0.3 if p.endswith(".test.ts") else 1
+        return out
+
+    def brute_graph(words):
+        last = lambda s: re.sub(r"[^0-9A-Za-z]+$", "", s.split()[-1])
+        import re
+
+        defined = [(last(s), p) for p, r in corpus.items() for s in r.sigs]
+        edges = [(p, q) for p, r in corpus.items() for name in r.refs for n, q in defined if n == name and p != q]
+        p = {f: 1.0 for f in corpus} | {f: 10.0 for f in sorted(corpus, key=lambda f: (-words[f], f))[:5]}
+        p |= {f: 50.0 for f in corpus if f.startswith("src/")}
+        p = {f: v / sum(p.values()) for f, v in p.items()}
+        out = {f: sum(a == f for a, _ in edges) for f in corpus}
+        x = {f: 1 / len(p) for f in p}
+        for _ in range(500):
+            loose = sum(v for f, v in x.items() if not out[f])
+            x = {f: 0.85 * (sum(x[a] / out[a] for a, b in edges if b == f) + loose * p[f]) + 0.15 * p[f] for f in p}
+        assert edges
+        return x
+
+    words = brute_words()
+    for ranked, brute in ((repomap.by_words(files, "token budget cache"), words), (repomap.by_graph(files, "token budget cache", ["src/"]), brute_graph(words))):
+        got = {r.path: r.score for r in ranked.collect()}
+        assert set(got) == set(brute) and all(math.isclose(got[f], brute[f], abs_tol=1e-5) for f in brute)
+        order = sorted(brute, key=lambda f: (-brute[f], f))
+        for budget in (1, 30, 60, 1000):
+            render = lambda k: "\n".join(["<repo_map>", *[x for f in order[:k] for x in ("\n" + f + ":", "⋮", *["│" + s for s in corpus[f].sigs], "⋮")], "\n</repo_map>"])
+            k = max([1, *[k for k in range(1, len(order) + 1) if len(render(k).encode()) // 4 <= budget]])
+            assert repomap.text_map(repomap.fit(ranked, budget)).first().repo_map == render(k)
