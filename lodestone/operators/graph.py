@@ -149,7 +149,7 @@ def _iterate(nodes: DataFrame, spread, outgoing: DataFrame, iterations: int, eve
             if tolerance is not None:
                 old = ranks.select("node", F.col("x").alias("_x"))
                 error = new.join(old, "node").agg(F.sum(F.abs(F.col("x") - F.col("_x")))).first()[0] or 0.0
-                if error < count * tolerance * every:
+                if error < count * tolerance:
                     ranks = new
                     break
         ranks = new

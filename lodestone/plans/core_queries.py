@@ -612,6 +612,17 @@ def pagerank_edges_2(s, d):
     return ranks.select(F.col("node").alias("file"), F.round("rank", 8).alias("rank"))
 
 
+@query("pagerank")
+def pagerank(s, d):
+    """Converged, personalized by the five best files for the fixed query (by path and symbols) and the seed folders."""
+    nodes, refs, defs = _file_parts(s, d)
+    names = defs.dropDuplicates().groupBy("file").agg(F.array_join(F.sort_array(F.collect_list("name")), " ").alias("names"))
+    texts = nodes.select(F.col("node").alias("file")).join(names, "file", "left").select("file", F.concat_ws(" ", "file", "names").alias("text"))
+    best = [r.file for r in lexical.bm25(texts, "file", {"q": QUERY}).orderBy(F.desc(F.round("score", 9)), "file").limit(5).collect()]
+    ranks = graph.file_rank(graph.personalization(nodes, "node", best, SEEDS), refs, defs)
+    return ranks.select(F.col("node").alias("file"), "rank")
+
+
 # -- extraction and maps ------------------------------------------------------------------
 
 

@@ -109,3 +109,27 @@ def test_repo_map_of_signatures(spark):
             render = lambda k: "\n".join(["<repo_map>", *[x for f in order[:k] for x in ("\n" + f + ":", "⋮", *["│" + s for s in corpus[f].sigs], "⋮")], "\n</repo_map>"])
             k = max([1, *[k for k in range(1, len(order) + 1) if len(render(k).encode()) // 4 <= budget]])
             assert repomap.text_map(repomap.fit(ranked, budget)).first().repo_map == render(k)
+
+
+def test_converged_personalized_pagerank(spark, tmp_path):
+    import math
+
+    import __spark_entry__
+
+    calls = [("src/a", "x"), ("src/a", "y"), ("src/a", "y"), ("b", "z"), ("c", "x"), ("d/token", "w"), ("e", "v"), ("f", "x")] + [(f"n{i}", "x" if i % 2 else "z") for i in range(6)]
+    symbols = [("b", "x"), ("c", "y"), ("d/token", "z"), ("src/a", "w"), ("c", "v")]
+    spark.createDataFrame(calls, "file string, callee_name string").write.parquet(str(tmp_path / "calls.parquet"))
+    spark.createDataFrame(symbols, "file string, name string").write.parquet(str(tmp_path / "symbols.parquet"))
+    edges = [(f, g) for f, name in calls for g, n in symbols if n == name and f != g]
+    p = {f: 50.0 if f == "src/a" else 10.0 if f == "d/token" else 1.0 for f, _ in calls + symbols}
+    p = {f: v / sum(p.values()) for f, v in p.items()}
+    out = {f: sum(a == f for a, _ in edges) for f in p}
+    x, error = {f: 1 / len(p) for f in p}, 1.0
+    done = 0
+    while error >= len(p) * 1e-6 or done % 3:  # convergence is looked at after each third
+        loose = sum(v for f, v in x.items() if not out[f])
+        new = {f: 0.85 * (sum(x[a] / out[a] for a, b in edges if b == f) + loose * p[f]) + 0.15 * p[f] for f in p}
+        error, x, done = sum(abs(new[f] - x[f]) for f in p), new, done + 1
+    assert done > 3
+    got = {r.file: r["rank"] for r in __spark_entry__.queries()["pagerank"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(x) and all(math.isclose(got[f], x[f], abs_tol=2e-8) for f in x)
