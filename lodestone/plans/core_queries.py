@@ -646,16 +646,9 @@ def source_imports(s, d):
     return extract.imports(load(s, d, "documents"))
 
 
-ROUTE_FILES = [
-    ("config/routes.rb", "Rails.application.routes.draw do\n  resources :users\n  namespace :admin do\n    get 'stats', to: 'stats#show'\n  end\nend\n"),
-    ("grails-app/conf/UrlMappings.groovy", 'class UrlMappings {\n  "/books"(resources: "book")\n  "/x/$id?"(controller: "thing")\n}\n'),
-    ("src/cats.controller.ts", "@Controller('cats')\nexport class CatsController {\n  @Get()\n  findAll() {}\n  @Get(':id')\n  async findOne(id: string) {}\n  @All('any')\n  any() {}\n}\n"),
-]
-
-
 @query("routes")
 def routes(s, d):
-    return extract.routes(s.createDataFrame(ROUTE_FILES, "path string, text string"))
+    return extract.routes(load(s, d, "documents"))
 
 
 @query("route_symbols")

@@ -133,3 +133,21 @@ def test_converged_personalized_pagerank(spark, tmp_path):
     assert done > 3
     got = {r.file: r["rank"] for r in __spark_entry__.queries()["pagerank"](spark, str(tmp_path)).collect()}
     assert set(got) == set(x) and all(math.isclose(got[f], x[f], abs_tol=2e-8) for f in x)
+
+
+ROUTE_FILES = [
+    ("config/routes.rb", "Rails.application.routes.draw do\n  resources :users\n  namespace :admin do\n    get 'stats', to: 'stats#show'\n  end\nend\n"),
+    ("grails-app/conf/UrlMappings.groovy", 'class UrlMappings {\n  "/books"(resources: "book")\n  "/x/$id?"(controller: "thing")\n}\n'),
+    ("src/cats.controller.ts", "@Controller('cats')\nexport class CatsController {\n  @Get()\n  findAll() {}\n  @Get(':id')\n  async findOne(id: string) {}\n  @All('any')\n  any() {}\n}\n"),
+]
+
+
+def test_routes_of_documents(spark, tmp_path):
+    import __spark_entry__
+
+    spark.createDataFrame([*ROUTE_FILES, ("a.md", "resources :users"), ("b.rb", None)], "path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r.path, r.method, r.route, r.handler) for r in __spark_entry__.queries()["routes"](spark, str(tmp_path)).collect()}
+    assert len(found) == 8 + 1 + 5 + 1 + 3
+    assert {("config/routes.rb", "GET", "/admin/stats", "admin/stats::show"), ("grails-app/conf/UrlMappings.groovy", "ANY", "/x/:id", "ThingController::index"), ("src/cats.controller.ts", "GET", "/cats/:id", "CatsController::findOne")} <= found
+    symbols = {(r.qualified, r.callee_name) for r in __spark_entry__.queries()["route_symbols"](spark, str(tmp_path)).collect()}
+    assert len(symbols) == 18 and ("route::ANY /cats/any", "any") in symbols
