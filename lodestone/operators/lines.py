@@ -185,6 +185,27 @@ def filter_key(command: Column, keys: dict[str, str], generic: dict[str, str]) -
     return F.coalesce(F.try_element_at(table(keys), pair), F.try_element_at(table(generic), first))
 
 
+#: Commands by how their output begins.
+BANNERS = {
+    r"(?i)^\s*(compiling|finished|checking) ": "cargo build",
+    r"(?i)^running (the test|\d+ tests?)": "cargo test",
+    r"(?i)^collecting the commit|^commit [0-9a-f]{7,40}\b": "git log",
+    r"(?i)^starting deployment": "docker logs",
+    r"^On branch ": "git status",
+    r"^diff --git ": "git diff",
+}
+
+
+def command_of(path: Column, text: Column) -> Column:
+    """Command line of a log: after a prompt in its first line, else by how it begins, else its
+    folder and the first word of its name, as in git/push-1.log."""
+    first = F.substring_index(strip_ansi(text), "\n", 1)
+    prompt = F.nullif(F.regexp_extract(first, r"^\s*[$>] +(\S.*?)\s*$", 1), F.lit(""))
+    banner = reduce(lambda c, kv: c.when(first.rlike(kv[0]), kv[1]), BANNERS.items(), F.when(F.lit(False), ""))
+    named = F.nullif(F.concat_ws(" ", F.regexp_extract(path, r"([^/]+)/[^/]*$", 1), F.regexp_extract(path, r"([^/.-]+)[^/]*$", 1)), F.lit(""))
+    return F.coalesce(prompt, banner, named)
+
+
 def compress(df: DataFrame, command: str, text: str) -> DataFrame:
     """``df`` with filter and filtered: each row's output by the filter of its command.
 

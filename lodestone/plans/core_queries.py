@@ -441,11 +441,9 @@ def group_repeated(s, d):
 
 @query("compress_output")
 def compress_output(s, d):
-    """Program output through the built-in filter of a command; the file's folder stands for the command."""
-    from lodestone.operators.filters import FILTERS
-
-    logs = _logs(s, d).filter("path like '%.log'")
-    return logs.select("doc_id", lines.apply(FILTERS["cargo::test"], F.col("text")).alias("tests"), lines.apply(FILTERS["git::log"], F.col("text")).alias("log"), lines.apply(FILTERS["docker::logs"], F.col("text")).alias("grouped"))
+    """Program output by the built-in filter of its command; output of an unknown command is kept as it is."""
+    logs = _logs(s, d).filter("path like '%.log'").withColumn("command", lines.command_of(F.col("path"), F.col("text")))
+    return lines.compress(logs, "command", "text").select("doc_id", "command", "filter", "filtered")
 
 
 def _registry_sql() -> str:

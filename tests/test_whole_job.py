@@ -151,3 +151,20 @@ def test_routes_of_documents(spark, tmp_path):
     assert {("config/routes.rb", "GET", "/admin/stats", "admin/stats::show"), ("grails-app/conf/UrlMappings.groovy", "ANY", "/x/:id", "ThingController::index"), ("src/cats.controller.ts", "GET", "/cats/:id", "CatsController::findOne")} <= found
     symbols = {(r.qualified, r.callee_name) for r in __spark_entry__.queries()["route_symbols"](spark, str(tmp_path)).collect()}
     assert len(symbols) == 18 and ("route::ANY /cats/any", "any") in symbols
+
+
+def test_compress_output_by_command(spark, tmp_path):
+    import __spark_entry__
+
+    from lodestone.operators import lines
+    from lodestone.operators.filters import FILTERS
+
+    texts = ["$ git push origin\nTo x\n  1..2 main -> main", "To x\n  1..2 main -> main", "running the test suite\ntest a ... ok\nFAILED b", "hello\n\nhello", None]
+    paths = ["a/1.log", "git/push-1.log", "docs/x/3.log", "docs/x/4.log", "docs/x/5.log"]
+    rows = [(i, p, t) for i, (p, t) in enumerate(zip(paths, texts))]
+    documents = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    documents.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in __spark_entry__.queries()["compress_output"](spark, str(tmp_path)).collect()}
+    assert [got[i].filter for i in range(4)] == ["git::push", "git::push", "cargo::test", None] and got[3].filtered == texts[3]
+    for i in range(3):
+        assert got[i].filtered == documents.filter(f"doc_id = {i}").select(lines.apply(FILTERS[got[i].filter], documents.text).alias("x")).first().x != texts[i]
