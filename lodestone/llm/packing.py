@@ -91,6 +91,14 @@ def pack(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
     return packed.unionByName(full.select("pack_id", "window", key, "piece", "pieces", "start_token", "tokens", "loss_tokens"))
 
 
+def binding(packed: DataFrame, limits: DataFrame, loss_part: float) -> DataFrame:
+    """pack_id, windows, by_tokens, by_segments, by_loss: windows that use 99 % of a limit or more."""
+    capacity = F.col("capacity_tokens")
+    windows = packed.groupBy("pack_id", "window").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss")).join(limits.select("pack_id", "capacity_tokens"), "pack_id")
+    most = {"tokens": capacity, "segments": F.greatest(F.lit(8), F.floor(capacity / PER_SEGMENT)), "loss": F.greatest(F.lit(1.0), capacity * loss_part)}
+    return windows.groupBy("pack_id").agg(F.count("*").alias("windows"), *[F.count_if(F.col(c) >= 0.99 * limit).alias(f"by_{c}") for c, limit in most.items()])
+
+
 def usage(packed: DataFrame, limits: DataFrame) -> DataFrame:
     """pack_id, windows, pieces, tokens, filled: the part of all windows' space in use."""
     windows = packed.groupBy("pack_id", "window").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"))

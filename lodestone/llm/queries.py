@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestone.common import distinct_rows, load
 from lodestone.llm import distinctive, language, mixing, neighbours, packing, sketch, split
 
+LOSS_PART = 0.9  #: of a window, for loss-bearing tokens
 TEN = "^[a-z]{6,}$"
 
 
@@ -86,6 +87,15 @@ def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(load(spark, d, "documents"), load(spark, d, "pack_limits"))
 
 
+def p8_loss_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows with room for LOSS_PART of their tokens in loss-bearing ones, so that this limit binds."""
+    return packing.pack(load(spark, d, "documents"), load(spark, d, "pack_limits"), loss_part=LOSS_PART)
+
+
+def p8_loss_binding(spark: SparkSession, d: str) -> DataFrame:
+    return packing.binding(p8_loss_windows(spark, d), load(spark, d, "pack_limits"), LOSS_PART)
+
+
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
     limits = load(spark, d, "pack_limits")
     return packing.usage(packing.pack(load(spark, d, "documents"), limits), limits)

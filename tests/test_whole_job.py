@@ -168,3 +168,25 @@ def test_compress_output_by_command(spark, tmp_path):
     assert [got[i].filter for i in range(4)] == ["git::push", "git::push", "cargo::test", None] and got[3].filtered == texts[3]
     for i in range(3):
         assert got[i].filtered == documents.filter(f"doc_id = {i}").select(lines.apply(FILTERS[got[i].filter], documents.text).alias("x")).first().x != texts[i]
+
+
+def test_loss_limit_binds_in_a_query(spark, tmp_path):
+    import os
+
+    import pytest
+
+    if not os.path.isdir("/opt/tokenizers"):
+        pytest.skip("no vocabulary")
+    import __spark_entry__
+
+    spark.createDataFrame([(i, "word\n" * 60 if i % 2 else "word " * 40) for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("w", 512)], "pack_id string, capacity_tokens long").write.parquet(str(tmp_path / "pack_limits.parquet"))
+    windows, tokens, loss = {}, 0, 0
+    for r in __spark_entry__.queries()["p8_loss_windows"](spark, str(tmp_path)).collect():
+        windows.setdefault(r.window, []).append(r)
+    for rows in windows.values():
+        assert sum(r.loss_tokens for r in rows) <= 0.9 * 512 and sum(r.tokens for r in rows) <= 512 and len(rows) <= 32
+    assert sum(map(len, windows.values())) == 200
+    full = [sum(r.loss_tokens for r in rows) >= 0.99 * 0.9 * 512 for rows in windows.values()]
+    found = __spark_entry__.queries()["p8_loss_binding"](spark, str(tmp_path)).collect()
+    assert [(r.windows, r.by_loss) for r in found] == [(len(windows), sum(full))]
