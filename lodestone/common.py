@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,17 +14,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Folder for checkpoints. The session's own setting wins; a temporary folder is
-    used only where none is set (tests on one machine)."""
+    """Folder for checkpoints: what the session names in ``spark.checkpoint.dir``. Only a
+    session on one machine may name none and gets a temporary folder; on a cluster every
+    executor would write to a disk of its own, so there it is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lodestone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lodestone-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach, for tables written between stages."""
-    return os.path.dirname(ensure_checkpoint_dir(spark))
+def at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has no more than so many rows; no more than that are looked at."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -13,18 +13,18 @@ TOKEN = r"[0-9]+|[A-Z]+(?=[A-Z][a-z])|[A-Z]{2,}|[A-Z][a-z0-9]*|[a-z][a-z0-9]*"
 #: Test and story files count less.
 PENALTY = r"\.(stories\.(tsx|ts|js|jsx)|spec\.(ts|tsx)|test\.(ts|tsx))$"
 
-#: Escape sequences of terminals.
-ANSI = r"\x1b\[[0-9;?]*[ -/]*[@-~]|\x1b\][^\x07]*(\x07|\x1b\\)|\x1b[()][A-Z0-9]|\x1b[=>]|\x1b[A-Za-z]"
+#: Escape sequences of terminals, and the bell.
+ANSI = r"\x1b\[[0-9;]*[A-Za-z]|\x1b[()][AB012]|\x1b[=>]|\x07|\x1b\].*?\x07"
 
 #: Fixed values, in order: what differs between repeated log lines.
 LOG_TOKENS = [
-    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?", "<ts>"),
-    (r"\d{2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}( [+-]\d{4})?", "<ts>"),
-    (r"\b\d{2}:\d{2}:\d{2}(\.\d+)?\b", "<ts>"),
-    (r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\b", "<uuid>"),
-    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(:\d+)?\b", "<ip>"),
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?", "<ts>"),
+    (r"\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(?:\s[+-]\d{4})?", "<ts>"),
+    (r"[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", "<ts>"),
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "<uuid>"),
+    (r"\b\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?::\d+)?\b", "<ip>"),
     (r"\b[0-9a-fA-F]{8,40}\b", "<hex>"),
-    (r"(/[A-Za-z0-9_.\-]+){2,}", "<path>"),
+    (r"/[A-Za-z0-9_./-]+/[A-Za-z0-9_.-]+", "<path>"),
     (r"\b\d{5,}\b", "<n>"),
 ]
 
@@ -104,7 +104,7 @@ def search_text(query: Column) -> Column:
 
 
 def normalize_log(line: Column) -> Column:
-    """Timestamps, ids, addresses, paths and long numbers of a log line as place holders."""
+    """Timestamps, ids, addresses, paths and long numbers of one log line as place holders."""
     for pattern, name in LOG_TOKENS:
         line = F.regexp_replace(line, pattern, name)
     return line
@@ -138,25 +138,11 @@ def last_segment(name: Column) -> Column:
     return F.element_at(F.split(name, "::"), -1)
 
 
-def combine_paths(prefix: Column, path: Column) -> Column:
-    """Both parts without outer slashes, joined by one, with a leading one."""
-    parts = F.filter(F.array(F.trim(F.lit("/"), prefix), F.trim(F.lit("/"), path)), lambda p: p != "")
-    return F.concat(F.lit("/"), F.array_join(parts, "/"))
-
-
 def setting(*values: Column) -> Column:
     """First value that is neither null nor empty."""
     return F.coalesce(*[F.nullif(v, F.lit("")) for v in values])
 
 
-def singularize(word: Column) -> Column:
-    return F.when(word.endswith("ies"), F.regexp_replace(word, "ies$", "y")).otherwise(F.regexp_replace(word, "s$", ""))
-
-
-def capitalize_first(word: Column) -> Column:
-    return F.concat(F.upper(F.substring(word, 1, 1)), word.substr(F.lit(2), F.length(word)))
-
-
 def lines(text: Column) -> Column:
     """Lines without their ends; a closing line end doesn't start another line."""
     parts = F.split(text, "\r?\n", -1)

@@ -425,21 +425,27 @@ _GRAILS = [("GET", "", "index"), ("POST", "", "save"), ("GET", "/:id", "show"),
 
 
 def rails_routes(text: str) -> list[tuple[str, str, str, int]]:
-    """method, path, handler, line of a routes file. Namespaces nest until their end."""
+    """method, path, handler, line of a routes file.
+
+    Namespaces nest until their end and prefix paths only; an ``end`` closes the innermost
+    namespace, whatever it ends. A resource keeps its name in path and handler.
+    """
     out, spaces = [], []
     for n, line in enumerate(text.split("\n"), 1):
         s = line.strip()
         base = "".join(f"/{x}" for x in spaces)
-        scope = "".join(f"{x}/" for x in spaces)
-        if m := re.match(r"namespace\s+:(\w+)", s):
+        if m := re.match(r"namespace\s*:([^\s,]+)", s):
             spaces.append(m[1])
         elif s == "end":
             spaces and spaces.pop()
-        elif m := re.match(r"resources?\s+:(\w+)", s):
-            name = m[1] if s.startswith("resources") or m[1].endswith("s") else m[1] + "s"
-            out += [(v, f"{base}/{name}{p}", f"{scope}{name}::{a}", n) for v, p, a in _RESOURCE]
-        elif m := re.match(r"(get|post|put|patch|delete|match)\s+['\"]([^'\"]+)['\"].*?(?:to:|=>)\s*['\"]([\w/]+)#(\w+)['\"]", s):
-            out.append((m[1].upper(), f"{base}/{m[2].lstrip('/')}", f"{scope}{m[3]}::{m[4]}", n))
+        elif m := re.match(r"resources?\s*:([^ ,]+)", s):
+            out += [(v, f"{base}/{m[1]}{p}", f"{m[1]}_controller::{a}", n) for v, p, a in _RESOURCE]
+        elif m := re.match(r"(get|post|put|patch|delete|match)[\s(]", s):
+            rest = s[len(m[1]) :]
+            url = re.search(r"'([^']*)'", rest) or re.search(r'"([^"]*)"', rest) or re.search(r":(\w*)", rest)
+            to = re.search(r"(?:to:|=>).*?(['\"])([^'\"#]*)#([^'\"]*)\1", rest)
+            if url and to:
+                out.append((m[1].upper(), f"{base}/{url[1].lstrip('/')}", f"{to[2]}_controller::{to[3]}", n))
     return out
 
 
@@ -450,15 +456,15 @@ def grails_routes(text: str) -> list[tuple[str, str, str, int]]:
         m = re.match(r"\s*(?:(get|post|put|patch|delete)\s+)?['\"](/[^'\"]*)['\"]\s*\(\s*(.*)\)", line)
         if not m:
             continue
-        path = re.sub(r"\$(\w+)\??", r":\1", m[2])
-        if r := re.search(r"resources?\s*:\s*['\"](\w+)['\"]", m[3]):
-            name = r[1][:1].upper() + r[1][1:] + "Controller"
-            out += [(v, path + p, f"{name}::{a}", n) for v, p, a in _GRAILS]
-        elif c := re.search(r"controller\s*:\s*['\"](\w+)['\"]", m[3]):
+        path = re.sub(r"(?<=/)\$([^/]*?)\?*(?=/|$)", r":\1", m[2])
+        if c := re.search(r"controller\s*:\s*['\"](\w+)['\"]", m[3]):
             action = re.search(r"action\s*:\s*['\"](\w+)['\"]", m[3])
             verb = re.search(r"method\s*:\s*['\"](\w+)['\"]", m[3])
             method = (verb[1] if verb else m[1] or "ANY").upper()
             out.append((method, path, f"{c[1][:1].upper()}{c[1][1:]}Controller::{action[1] if action else 'index'}", n))
+        elif r := re.search(r"resources?\s*:\s*['\"](\w+)['\"]", m[3]):
+            name = r[1][:1].upper() + r[1][1:] + "Controller"
+            out += [(v, path.rstrip("/") + p, f"{name}::{a}", n) for v, p, a in _GRAILS]
     return out
 
 
@@ -479,10 +485,17 @@ def nest_routes(text: str) -> list[tuple[str, str, str, int]]:
     return out
 
 
+_ROUTES_DSL = re.compile(r"routes\.draw|resources|resource |^[ \t]*(?:get|post|put|patch|delete|match) ", re.M)
+
+
+def _is_rails(path: str, text: str) -> bool:
+    return path.endswith(".rb") and (path.endswith("routes.rb") or "/config/routes/" in path) and bool(_ROUTES_DSL.search(text))
+
+
 ROUTERS: list[tuple[Callable[[str, str], bool], Callable[[str], list[tuple[str, str, str, int]]]]] = [
-    (lambda p, t: p.endswith("routes.rb") or "routes.draw" in t, rails_routes),
-    (lambda p, t: p.endswith("UrlMappings.groovy"), grails_routes),
-    (lambda p, t: p.endswith(".ts") and "@Controller" in t, nest_routes),
+    (_is_rails, rails_routes),
+    (lambda p, t: p.endswith(".groovy") and (p.endswith("UrlMappings.groovy") or "class UrlMappings" in t or "static mappings = {" in t), grails_routes),
+    (lambda p, t: p.endswith((".ts", ".tsx")) and ("@nestjs/common" in t or "@Controller" in t), nest_routes),
 ]
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +81,17 @@ def node(symbols: DataFrame, name: str) -> DataFrame:
     return symbols.filter(F.col("name") == name)
 
 
+def totals(calls: DataFrame, condition: Column, by: str, kept: DataFrame) -> DataFrame:
+    """One row: total_found (call sites that meet ``condition``), nodes (of ``kept``), truncated.
+
+    Nodes are compared with call sites, so a node with several sites alone makes a result
+    truncated, as does a budget that left a node out.
+    """
+    found = calls.filter(condition & F.col(by).isNotNull()).agg(F.count("*").alias("total_found"))
+    out = kept.agg(F.count("*").alias("nodes")).withColumn("total_found", one_row(found)["total_found"])
+    return out.select("total_found", "nodes", (F.col("nodes") < F.col("total_found")).alias("truncated"))
+
+
 def with_sites(nodes: DataFrame, calls: DataFrame, by: str) -> DataFrame:
     """``site_list`` (file:line, sorted) of nodes kept under a budget, which bounds its bytes."""
     keys = nodes.select(F.col("key").alias(by)).dropDuplicates()
@@ -116,14 +131,54 @@ def enclosing(definitions: DataFrame, sites: DataFrame) -> DataFrame:
     """As-of join: for each site the definition of its file with the greatest line up to the
     site's, the last by order on ties; else file::<top>.
 
-    ``definitions``: file, line, ord, qualified. ``sites``: file, line and an id. One sort per
-    file over the union of both replaces the range join.
+    ``definitions``: file, line, ord, qualified. ``sites``: file, line and an id; file and
+    line are not null. The union of both is range-partitioned by (file, line, ...) and
+    sorted, so a file with a third of all sites, even on one line, is spread over many
+    tasks. Each task carries the last definition along in vectorised steps and tells what
+    it ends with: a row per task, from which sites before the first definition of their
+    task take theirs. One shuffle; the sorted sites are written once.
     """
-    a = definitions.select("file", "line", F.lit(0).alias("_site"), F.col("ord").alias("_ord"), "qualified", F.lit(None).cast("long").alias("id"))
-    b = sites.select("file", "line", F.lit(1).alias("_site"), F.col("id").alias("_ord"), F.lit(None).cast("string").alias("qualified"), "id")
-    order = Window.partitionBy("file").orderBy("line", "_site", "_ord").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.last("qualified", ignorenulls=True).over(order)
-    return a.unionByName(b).withColumn("_found", found).filter("_site = 1").select("id", "file", "line", F.coalesce("_found", F.concat("file", F.lit("::<top>"))).alias("caller_qualified"))
+    a = definitions.select("file", F.col("line").cast("int").alias("line"), F.lit(0).alias("_site"), F.col("ord").cast("long").alias("id"), "qualified")
+    b = sites.select("file", F.col("line").cast("int").alias("line"), F.lit(1).alias("_site"), F.col("id").cast("long").alias("id"), F.lit(None).cast("string").alias("qualified"))
+    order = ["file", "line", "_site", "id"]
+    ranged = a.unionByName(b).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
+    out = cut(ranged.select("_part", *order, "qualified").mapInArrow(_carry, "part int, id long, file string, line int, qualified string, ends boolean"))
+    later = Window.partitionBy("file").orderBy("part")
+    ends = out.filter("ends").select("file", "part", F.last("qualified", ignorenulls=True).over(later.rowsBetween(Window.unboundedPreceding, 0)).alias("_carried"), F.lead("part").over(later).alias("_until"))
+    ends = F.broadcast(ends.filter("_carried is not null").select(F.col("file").alias("_file"), F.col("part").alias("_from"), "_carried", "_until"))  # at most a row a task
+    here = out.filter("not ends")
+    on = (here["file"] == ends["_file"]) & here["qualified"].isNull() & (here["part"] > ends["_from"]) & (ends["_until"].isNull() | (here["part"] <= ends["_until"]))
+    return here.join(ends, on, "left").select("id", "file", "line", F.coalesce("qualified", "_carried", F.concat("file", F.lit("::<top>"))).alias("caller_qualified"))
+
+
+def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sites of a sorted partition with the last definition of their file so far, if any, and
+    a row for what the partition ends with."""
+    names = ["part", "id", "file", "line", "qualified", "ends"]
+    file = last = part = None
+    for b in batches:
+        n = b.num_rows
+        if not n:
+            continue
+        files, found = b.column("file").dictionary_encode(), b.column("qualified")
+        codes, at = files.indices.to_numpy(), np.arange(n)
+        fresh = np.concatenate([[True], codes[1:] != codes[:-1]])
+        begins = np.maximum.accumulate(np.where(fresh, at, 0))
+        site = b.column("_site").to_numpy() == 1
+        latest = np.maximum.accumulate(np.where(site, -1, at))
+        own = latest >= begins
+        same = files.dictionary[int(codes[0])].as_py() == file  # the file that the batch before ended with
+        names_of = pc.take(found, pa.array(latest, mask=~own))
+        if same and last is not None:
+            names_of = pc.if_else(pa.array((begins == 0) & ~own), pa.scalar(last, pa.string()), names_of)
+        if not (same and begins[-1] == 0):
+            last = None
+        file, part = files.dictionary[int(codes[-1])].as_py(), b.column("_part")[n - 1].as_py()
+        last = names_of[n - 1].as_py() if own[-1] else last
+        keep = pa.array(np.flatnonzero(site))
+        yield pa.RecordBatch.from_arrays([b.column("_part").take(keep), b.column("id").take(keep), b.column("file").take(keep), b.column("line").take(keep), names_of.take(keep), pa.array(np.zeros(len(keep), bool))], names)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([None], pa.int64()), pa.array([file]), pa.array([None], pa.int32()), pa.array([last], pa.string()), pa.array([True])], names)
 
 
 DAMPING = 0.85

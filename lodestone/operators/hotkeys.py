@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.common import one_row
+
 SITE = ["caller_qualified", "callee_name", "file", "line"]
 
 
@@ -19,36 +21,38 @@ def call_sites(calls: DataFrame) -> DataFrame:
     return named.select(*SITE).dropDuplicates()
 
 
-def per_key(sites: DataFrame, field: str, counterpart: str | None = None, by_file: bool = True) -> DataFrame:
-    """Figures per value of ``field`` by map-side combining.
+FIELDS = ("callee_name", "caller_qualified")
 
-    Distinct counterparts and files are counted in two algebraic steps: partial tables
-    keyed by (key, value) spread a hot key over all reducers, then only one small partial
-    count per task and key goes to the key's own reducer. No task ever sees the raw rows
-    of one key, hence no salt and no skew handling is needed.
 
-    Result: key_field, key_value, call_sites, and if asked for counterparts, files (nulls
-    don't count as a file). Empty input gives an empty result.
-    """
-    key = F.col(field).alias("key_value")
-    if counterpart is None:
-        counts = sites.groupBy(key).agg(F.count("*").alias("call_sites"))
-    else:
-        pairs = sites.groupBy(key, F.col(counterpart).alias("_other")).agg(F.count("*").alias("_n"))
-        counts = pairs.groupBy("key_value").agg(F.sum("_n").alias("call_sites"), F.count("*").alias("counterparts"))
-    if by_file:
-        files = sites.groupBy(key, F.col("file").alias("_file")).agg(F.count("*").alias("_n"))
-        counts = counts.join(files.groupBy("key_value").agg(F.count("_file").alias("files")), "key_value")
-    return counts.select(F.lit(field).alias("key_field"), *counts.columns)
+def both_fields(sites: DataFrame, full: bool = True) -> DataFrame:
+    """Figures per callee and per caller by map-side combining, with each key's share of all call sites.
 
+    Distinct counterparts and files are counted in algebraic steps. Each site gives one
+    record for its pair of names and, with ``full``, one for each name and its file;
+    partial tables keyed by the pair spread a hot name over all reducers, and then only
+    one small partial count per task and name goes to the name's own reducer. No task
+    ever sees the raw rows of one name, hence no salt and no skew handling is needed, and
+    ``sites`` are read once.
 
-def both_fields(sites: DataFrame, full: bool = True) -> DataFrame:
-    """:func:`per_key` for callees and callers, with each key's share of all call sites."""
-    fields = [("callee_name", "caller_qualified"), ("caller_qualified", "callee_name")]
-    one, two = (per_key(sites, f, other if full else None, by_file=full) for f, other in fields)
-    keys = one.unionByName(two)
-    totals = keys.groupBy("key_field").agg(F.sum("call_sites").alias("all_sites"))  # two rows
-    return keys.join(F.broadcast(totals), "key_field").withColumn("share", F.col("call_sites") / F.col("all_sites"))
+    Result: key_field, key_value, call_sites, with ``full`` also counterparts and files
+    (nulls don't count as a file), all_sites, share. Empty input gives an empty result.
+    """
+    callee, caller = (F.col(f) for f in FIELDS)
+    record = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+    records = [record(0, callee, caller), record(1, callee, F.col("file")), record(2, caller, F.col("file"))]
+    pairs = sites.select(F.inline(F.array(*records[: 3 if full else 1]))).groupBy("kind", "a", "b").agg(F.count("*").alias("n"))
+
+    def part(field: str, key: Column, pair: bool) -> Column:
+        in_files = F.when(F.col("b").isNotNull(), 1).otherwise(0)
+        counts = {"sites": F.col("n"), "others": F.lit(1), "files": F.lit(0)} if pair else {"sites": F.lit(0), "others": F.lit(0), "files": in_files}
+        return F.struct(F.lit(field).alias("key_field"), key.alias("key_value"), *[v.cast("long").alias(k) for k, v in counts.items()])
+
+    names = F.array(part(FIELDS[0], F.col("a"), True), part(FIELDS[1], F.col("b"), True))
+    if full:
+        names = F.when(F.col("kind") == 0, names).when(F.col("kind") == 1, F.array(part(FIELDS[0], F.col("a"), False))).otherwise(F.array(part(FIELDS[1], F.col("a"), False)))
+    keys = pairs.select(F.inline(names)).groupBy("key_field", "key_value").agg(F.sum("sites").alias("call_sites"), *[F.sum(c).alias(alias) for c, alias in (("others", "counterparts"), ("files", "files")) if full])
+    total = sites.agg(F.count("*").alias("all_sites"))
+    return keys.withColumn("all_sites", one_row(total)["all_sites"]).withColumn("share", F.col("call_sites") / F.col("all_sites"))
 
 
 def dominant(keys: DataFrame, percent: int = 2) -> DataFrame:

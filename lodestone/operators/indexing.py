@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.common import at_most
+from lodestone.functions.text import doc_title, embed_input
+
 KEY = ["collection", "path"]
+FEW_CONTEXTS = 10000  #: contexts that are broadcast, at most
+SALTS = 16
 SIZE, OVERLAP = 1000, 0.15
 
 
@@ -21,6 +26,13 @@ def diff(discovered: DataFrame, indexed: DataFrame) -> DataFrame:
     return a.join(b, KEY, "full_outer").select(*KEY, status.alias("status"))
 
 
+def stats(discovered: DataFrame, indexed: DataFrame) -> DataFrame:
+    """One row of an index run: scanned, errors (no text), skipped (hash unchanged), indexed."""
+    rows = discovered.select(*KEY, F.col("text").isNull().alias("_bad"), "content_hash").join(indexed.select(*KEY, F.col("content_hash").alias("_was"), F.lit(True).alias("_known")), KEY, "left")
+    same = F.col("_known").isNotNull() & F.col("content_hash").eqNullSafe(F.col("_was"))
+    return rows.agg(F.count("*").alias("scanned"), F.count_if("_bad").alias("errors"), F.count_if(~F.col("_bad") & same).alias("skipped"), F.count_if(~F.col("_bad") & ~same).alias("indexed"))
+
+
 def orphans(indexed: DataFrame, current_paths: DataFrame) -> DataFrame:
     """Indexed documents whose path is no longer there."""
     return indexed.join(current_paths.select(*KEY), KEY, "left_anti")
@@ -50,21 +62,52 @@ def pending(chunks: DataFrame, documents: DataFrame, collection: str, batch: int
     return chunks.filter(status(F.col("status")) == "pending").join(mine, "doc_id").orderBy("id").limit(batch)
 
 
-def path_context(rows: DataFrame, contexts: DataFrame) -> DataFrame:
+def path_context(rows: DataFrame, contexts: DataFrame, few: int = FEW_CONTEXTS) -> DataFrame:
     """``context``: description of the longest prefix of ``path`` in its collection, ties by
     priority, then description; null where none fits.
 
-    Prefixes join by equality: each path offers its own prefixes of the lengths that the
-    collection's contexts have, so no row meets every context.
+    Prefixes join by equality: each path offers its own prefixes of the lengths that its
+    collection's contexts have, so no row meets every context. Contexts are counted, up to
+    ``few`` of them: that many are broadcast as a map per collection, and no row moves. More are
+    joined by shuffles in which every context stands SALTS times, as one collection or prefix
+    may hold most of the rows.
     """
-    best = contexts.filter("path_prefix is not null").groupBy("collection", "path_prefix").agg(F.max(F.struct("priority", "description"))["description"].alias("context"))
-    lengths = best.groupBy("collection").agg(F.array_sort(F.collect_set(F.length("path_prefix"))).alias("_lengths"))  # contexts are few
-    offered = rows.select(*KEY).dropDuplicates().join(lengths, "collection").select(*KEY, F.explode("_lengths").alias("_n")).filter(F.col("_n") <= F.length("path"))
+    best = contexts.filter("collection is not null and path_prefix is not null").groupBy("collection", "path_prefix").agg(F.max(F.struct("priority", "description"))["description"].alias("context"))
+    if at_most(best, few):
+        known = best.groupBy("collection").agg(F.map_from_entries(F.collect_list(F.struct("path_prefix", "context"))).alias("_known"), F.reverse(F.array_sort(F.collect_set(F.length("path_prefix")))).alias("_lengths"))
+        joined = rows.join(F.broadcast(known), "collection", "left")
+        hits = F.filter(F.transform("_lengths", lambda n: F.col("path").substr(F.lit(1), n)), lambda p: F.map_contains_key("_known", p))
+        longest = F.when(F.col("path").isNotNull(), F.get(hits, 0))
+        return joined.withColumn("context", F.try_element_at("_known", longest)).select(*rows.columns, "context")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    lengths = best.groupBy("collection").agg(F.array_sort(F.collect_set(F.length("path_prefix"))).alias("_lengths")).select("*", salts)
+    offered = rows.select(*KEY).dropDuplicates().withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int"))
+    offered = offered.join(lengths, ["collection", "_salt"]).select(*KEY, "_salt", F.explode("_lengths").alias("_n")).filter(F.col("_n") <= F.length("path"))
     offered = offered.withColumn("path_prefix", F.col("path").substr(F.lit(1), F.col("_n")))
-    found = offered.join(best, ["collection", "path_prefix"]).groupBy(*KEY).agg(F.max_by("context", "_n").alias("context"))
+    found = offered.join(best.select("*", salts), ["collection", "path_prefix", "_salt"]).groupBy(*KEY).agg(F.max_by("context", "_n").alias("context"))
     return rows.join(found, KEY, "left")
 
 
+def embed_pending(chunks: DataFrame, documents: DataFrame, collection: str, batch: int, embed: Callable[[list[str]], list[list[float]]], together: int = 32) -> DataFrame:
+    """id, embedding, status of the next ``batch`` pending chunks of a collection, embedded.
+
+    ``embed`` is the model: a function of the worker from some texts (the document's title,
+    an empty line, the chunk) to their vectors; it is called with ``together`` texts at a
+    time, so that a client lives as long as its partition's task. A null content is
+    embedded by its title alone. Write the rows back by :func:`lodestone.sources.tables.upsert`.
+    """
+    todo = pending(chunks, documents, collection, batch)
+    rows = todo.select("id", embed_input(doc_title(F.col("path")), F.coalesce("content", F.lit(""))).alias("input"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            vectors = [v for i in range(0, len(texts), together) for v in embed(texts[i : i + together])]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(vectors, pa.list_(pa.float32())), pa.array(["done"] * len(texts))], ["id", "embedding", "status"])
+
+    return rows.mapInArrow(work, "id long, embedding array<float>, status string")
+
+
 def byte_pieces(data: bytes, size: int = SIZE, overlap: float = OVERLAP) -> list[tuple[int, bytes]]:
     """(start, trimmed content): plain slices at character boundaries, each ``overlap`` of the slice back."""
     out, at = [], 0

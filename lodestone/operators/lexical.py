@@ -39,36 +39,46 @@ def idf(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-def bm25(docs: DataFrame, key: str, queries: dict[str, str], text: str = "text", weight: Column | None = None, include_zero: bool = False) -> DataFrame:
-    """(list_id, key, score): BM25 (k1 1.5, b 0.75) of all documents for a few queries.
+def bm25_wide(docs: DataFrame, key: str, queries: dict[str, str], text: str = "text", weight: Column | None = None, keep: dict[str, Column] | None = None) -> DataFrame:
+    """key, the columns of ``keep``, and a column of BM25 scores (k1 1.5, b 0.75) for each query.
 
     The terms are known when the plan is made, so a first scan gives one row of counts
     and a second scores every row by itself: no shuffle but that one row, whatever the
     corpus. ``weight`` (from further columns of ``docs``) multiplies the score, as for
-    test files. Documents without a text don't count; a query without terms has no rows;
-    documents with a score of 0 are left out unless ``include_zero``.
+    test files. Documents without a text don't count and have null scores; a query
+    without terms has null scores only.
     """
     terms = {q: query_terms(t) for q, t in queries.items()}
-    terms = {q: t for q, t in terms.items() if t}
     every = sorted({t for own in terms.values() for t in own})
-    schema = f"list_id string, {key} {docs.schema[key].dataType.simpleString()}, score double"
+    keep = keep or {}
+    none = [F.lit(None).cast("double").alias(q) for q in queries]
     if not every:
-        return docs.sparkSession.createDataFrame([], schema)
-    tokens = tokenize(text)
-    rows = docs.filter(F.col(text).isNotNull()).select(key, (weight if weight is not None else F.lit(1.0)).alias("_w"), tokens.alias("_tokens"))
-    hits = rows.select(key, "_w", F.size("_tokens").alias("dl"), F.filter("_tokens", lambda t: t.isin(every)).alias("hits"))
-    counts = hits.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.array_contains("hits", t)).alias(f"df_{i}") for i, t in enumerate(every)])
+        return docs.select(key, *[v.alias(k) for k, v in keep.items()], *none)
+    rows = docs.select(key, *[v.alias(k) for k, v in keep.items()], (weight if weight is not None else F.lit(1.0)).alias("_w"), tokenize(text).alias("_tokens"))
+    hits = rows.select(key, *keep, "_w", F.when(F.col("_tokens").isNotNull(), F.size("_tokens")).alias("_dl"), F.filter("_tokens", lambda t: t.isin(every)).alias("_hits"))
+    counts = hits.filter("_dl is not null").agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.array_contains("_hits", t)).alias(f"_df_{i}") for i, t in enumerate(every)])
     both = hits.withColumn("_c", one_row(counts)).select("*", "_c.*")
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
+    norm = K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl"))
 
     def part(term: str) -> Column:
-        tf = F.size(F.filter("hits", lambda x: x == term)).cast("double")
-        return idf(F.col("n"), F.col(f"df_{every.index(term)}")) * tf * (K1 + 1) / (tf + norm)
+        tf = F.size(F.filter("_hits", lambda x: x == term)).cast("double")
+        return idf(F.col("_n"), F.col(f"_df_{every.index(term)}")) * tf * (K1 + 1) / (tf + norm)
+
+    any_hit = F.size("_hits") > 0
+    score = lambda own: F.when(F.col("_dl").isNull(), None).when(any_hit, reduce(lambda a, b: a + b, [part(t) for t in own]) * F.col("_w")).otherwise(0.0)
+    return both.select(key, *keep, *[(score(own) if own else F.lit(None).cast("double")).alias(q) for q, own in terms.items()])
 
-    scores = [F.struct(F.lit(q).alias("list_id"), (reduce(lambda a, b: a + b, [part(t) for t in own]) * F.col("_w")).alias("score")) for q, own in terms.items()]
-    kept = both if include_zero else both.filter(F.size("hits") > 0)
-    out = kept.select(key, F.inline(F.array(*scores))).select("list_id", key, "score")
-    return out if include_zero else out.filter("score > 0")
+
+def bm25(docs: DataFrame, key: str, queries: dict[str, str], text: str = "text", weight: Column | None = None, include_zero: bool = False) -> DataFrame:
+    """(list_id, key, score): :func:`bm25_wide` as one row per query and document. Documents
+    without a text and queries without terms have no rows; documents with a score of 0 are
+    left out unless ``include_zero``."""
+    own = [q for q, t in queries.items() if query_terms(t)]
+    if not own:
+        return docs.sparkSession.createDataFrame([], f"list_id string, {key} {docs.schema[key].dataType.simpleString()}, score double")
+    wide = bm25_wide(docs, key, {q: queries[q] for q in own}, text, weight)
+    scores = F.filter(F.array(*[F.struct(F.lit(q).alias("list_id"), F.col(q).alias("score")) for q in own]), lambda s: s["score"] >= 0 if include_zero else s["score"] > 0)
+    return wide.select(key, F.inline(scores)).select("list_id", key, "score")
 
 
 def boilerplate(scored: DataFrame, path: str, config: Column, top: int = 10) -> DataFrame:

@@ -23,7 +23,7 @@ class Filter:
     strip_ansi: bool = True
     preprocess: str | None = None
     replacements: tuple[tuple[str, str], ...] = ()
-    match: tuple[tuple[str, str], ...] = ()  #: pattern, message
+    match: tuple[tuple[str, ...], ...] = ()  #: pattern, message and, if any, the pattern of an exception to it
     strip: tuple[str, ...] = ()
     keep: tuple[str, ...] = ()
     width: int | None = None
@@ -102,46 +102,57 @@ def group_repeated(rows: Column) -> Column:
 
 
 def git_log(text: Column, most: int = 50) -> Column:
-    """Commits without merges, at most 50."""
-    blocks = F.split(text, r"(?m)(?=^commit )", -1)
-    kept = F.filter(blocks, lambda b: ~b.rlike(r"(?m)^(Merge:|\s*Merge branch)") & (b != ""))
+    """Commits without merges, at most 50. Only lines that begin with Merge make a merge; an
+    indented one belongs to the message."""
+    blocks = F.split(text, r"(?md)(?=^commit )", -1)
+    kept = F.filter(blocks, lambda b: ~b.rlike(r"(?md)^Merge(:| branch)") & (b != ""))
     return F.array_join(F.slice(kept, 1, most), "")
 
 
 def push_to_ok(text: Column) -> Column:
-    """The first line with an arrow, after ``ok``; else the text."""
-    found = F.get(F.filter(lines(text), lambda x: x.contains("->") & ~F.ltrim(x).startswith("*")), 0)
-    return F.coalesce(F.concat(F.lit("ok "), F.trim(found)), text)
+    """The first line with an arrow that is no list item, after ``ok``; else the text."""
+    found = F.get(F.filter(F.transform(lines(text), blank_trim), lambda x: x.contains("->") & ~x.startswith("*")), 0)
+    return F.coalesce(F.concat(F.lit("ok "), found), text)
 
 
 def commit_to_ok(text: Column) -> Column:
-    """``[branch sha] message`` as ``ok sha branch: message``; else the text."""
-    pattern = r"(?m)^\[(\S+)(?: \([^)]*\))? ([0-9a-f]+)\] (.*)$"
-    part = lambda i: F.regexp_extract(text, pattern, i)
-    return F.when(part(2) != "", F.concat(F.lit("ok "), part(2), F.lit(" "), part(1), F.lit(": "), part(3))).otherwise(text)
+    """The first line ``[branch sha] message`` as ``ok sha branch: message``; else the text."""
+    #: Fixed value: how a commit is reported; the hash has at least seven digits.
+    pattern = r"^\[([^\s\]]+)\s+([0-9a-f]{7,})\]\s+(.+)$"
+    found = F.get(F.filter(F.transform(lines(text), blank_trim), lambda x: x.rlike(pattern)), 0)
+    return F.coalesce(F.regexp_replace(found, pattern, "ok $2 $1: $3"), text)
+
+
+#: How typed values of a document store are written, and what is left of them.
+TYPED = [
+    (r'\{\s*"S"\s*:\s*("(?:[^"\\]|\\.)*")\s*\}', "$1"),
+    (r'\{\s*"N"\s*:\s*"(-?[0-9.]+)"\s*\}', "$1"),
+    (r'\{\s*"BOOL"\s*:\s*(true|false)\s*\}', "$1"),
+    (r'\{\s*"NULL"\s*:\s*true\s*\}', "null"),
+]
 
 
 def unwrap_types(text: Column) -> Column:
-    """{"S": "x"} as "x", and so for N, BOOL and NULL."""
-    steps = [(r'\{\s*"S":\s*("(?:[^"\\]|\\.)*")\s*\}', "$1"), (r'\{\s*"N":\s*"([^"]*)"\s*\}', "$1"), (r'\{\s*"BOOL":\s*(true|false)\s*\}', "$1"), (r'\{\s*"NULL":\s*true\s*\}', "null")]
-    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), steps, text)
+    """{"S": "x"} as "x", {"N": "4"} as 4, and so for BOOL and NULL."""
+    return reduce(lambda t, s: F.regexp_replace(t, s[0], s[1]), TYPED, text)
 
 
 def strip_policies(text: Column) -> Column:
-    """Policy documents as a placeholder: braces are counted line by line from their first line on."""
-    state = "struct<depth:int,out:array<string>>"
+    """Policy documents as a placeholder: braces are counted line by line from the line that begins one."""
+    state = "struct<inside:boolean,depth:int,out:array<string>>"
 
     def braces(x: Column) -> Column:
         return F.length(F.regexp_replace(x, r"[^{]", "")) - F.length(F.regexp_replace(x, r"[^}]", ""))
 
     def step(s: Column, x: Column) -> Column:
-        starts = x.contains('"PolicyDocument": {')
-        inside = s["depth"] > 0
-        depth = F.when(inside, F.greatest(s["depth"] + braces(x), F.lit(0))).when(starts, F.greatest(braces(x), F.lit(0))).otherwise(0)
-        out = F.when(inside, s["out"]).when(starts, F.concat(s["out"], F.array(F.lit('"PolicyDocument": "<policy>",')))).otherwise(F.concat(s["out"], F.array(x)))
-        return F.struct(depth.cast("int").alias("depth"), out.alias("out")).cast(state)
-
-    first = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")).cast(state)
+        starts = ~s["inside"] & x.rlike(r'^\s*"PolicyDocument"')
+        depth = F.when(s["inside"], s["depth"]).otherwise(0) + braces(x)
+        mark = F.concat(F.regexp_extract(x, r'^[^"]*', 0), F.lit('"PolicyDocument": "<policy>",'))
+        shown = F.concat(s["out"], F.array(F.when(starts, mark).otherwise(x)))
+        still = F.when(s["inside"], depth > 0).when(starts, depth != 0).otherwise(False)
+        return F.struct(still.alias("inside"), depth.cast("int").alias("depth"), F.when(s["inside"], s["out"]).otherwise(shown).alias("out")).cast(state)
+
+    first = F.struct(F.lit(False).alias("inside"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out")).cast(state)
     return F.array_join(F.aggregate(lines(text), first, step, lambda s: s["out"]), "\n")
 
 
@@ -165,8 +176,11 @@ def apply(spec: Filter, text: Column) -> Column:
         out = F.array_join(at_most(head_tail(rows, spec.head, spec.tail), spec.most), "\n")
         if spec.on_empty is not None:
             out = let(out, lambda o: F.when(blank_trim(o) == "", spec.on_empty).otherwise(o))
-        for pattern, message in reversed(spec.match):
-            out = F.when(clean.rlike(pattern), message).otherwise(out)
+        for pattern, message, *exception in reversed(spec.match):
+            hit = clean.rlike(pattern)
+            for e in exception:
+                hit = hit & ~clean.rlike(e)
+            out = F.when(hit, message).otherwise(out)
         return F.when(clean.isNotNull(), out)
 
     clean = PREPROCESS[spec.preprocess](text) if spec.preprocess else text

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import fusion, vectors
-from lodestone.operators.lexical import bm25, query_terms
+from lodestone.operators.lexical import bm25, bm25_wide, query_terms
 
 MODES = ("exact", "conceptual", "expanded")
+SCORE_DIGITS = 9  #: of lexical and vector scores, so that equal scores tie however they were summed
 
 
 def parse(query: str) -> tuple[str, str]:
@@ -71,11 +72,12 @@ class Searcher:
         """Lists of BM25 and cosine for the query (weight 2) and its variants, fused, cut to
         30, judged, normalized, best chunk per document, k best."""
         wordings = {"q": text} | {f"v{i}": v for i, v in enumerate(self.variants(text)[:3])}
-        lists = bm25(self.chunks, "id", {f"b_{n}": t for n, t in wordings.items()}, "content", include_zero=True)
-        if self.embed is not None:
-            lists = lists.unionByName(vectors.score_all(self.chunks, "id", "embedding", {f"e_{n}": self.embed(t) for n, t in wordings.items()}))
-        ranked = fusion.positions(lists, "id")
-        fused = fusion.top(fusion.rrf(ranked, "id", {"b_q": 2.0, "e_q": 2.0}), "id", self.rerank_cap)
+        near = {f"e_{n}": vectors.cosine_to(F.col("embedding"), self.embed(t)) for n, t in wordings.items()} if self.embed is not None else {}
+        words = {f"b_{n}": t for n, t in wordings.items()}
+        wide = bm25_wide(self.chunks, "id", words, "content", keep=near)
+        weights = {n: 2.0 if n.endswith("_q") else 1.0 for n in (*words, *near)}
+        wide = wide.select("id", *[F.round(n, SCORE_DIGITS).alias(n) for n in weights])
+        fused = fusion.top_fused(wide, "id", weights, self.rerank_cap)
         if self.judge is not None:
             fused = rerank(fused, self.chunks, self.judge(text))
         return self._results(fusion.min_max(fused), k)

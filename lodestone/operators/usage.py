@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import savings_percent
@@ -26,7 +26,7 @@ def record(raw: DataFrame) -> DataFrame:
     """Derived figures of one execution: tokens are a quarter of the bytes; saved ones never negative."""
     before, after = F.floor(F.col("raw_output_size") / 4), F.floor(F.col("filtered_output_size") / 4)
     out = raw.withColumn("input_tokens", before.cast("long")).withColumn("output_tokens", after.cast("long"))
-    return out.withColumn("saved_tokens", F.greatest(F.col("input_tokens") - F.col("output_tokens"), F.lit(0))).withColumn("savings_percent", savings_percent(F.col("input_tokens"), F.col("output_tokens")))
+    return out.withColumn("saved_tokens", F.when(F.col("input_tokens").isNotNull() & F.col("output_tokens").isNotNull(), F.greatest(F.col("input_tokens") - F.col("output_tokens"), F.lit(0)))).withColumn("savings_percent", savings_percent(F.col("input_tokens"), F.col("output_tokens")))
 
 
 def summary(metrics: DataFrame) -> DataFrame:
@@ -37,6 +37,19 @@ def summary(metrics: DataFrame) -> DataFrame:
     return out.select("executions", "input_tokens", "output_tokens", saved.alias("saved_tokens"), savings_percent(F.col("input_tokens"), F.col("output_tokens")).alias("savings_percent"), "execution_time_ms", average.alias("avg_time_ms"))
 
 
+def report(summary: DataFrame, commands: DataFrame) -> DataFrame:
+    """(n, line): a text report of :func:`summary` and :func:`by_command`, a row a line: the
+    totals, and each command by falling saved tokens, ties by name."""
+    labels = [("executions", "Commands run: "), ("input_tokens", "Tokens before: "), ("output_tokens", "Tokens after: "), ("saved_tokens", "Tokens saved: ")]
+    heads = [F.concat(F.lit(text), F.col(c).cast("string")) for c, text in labels]
+    heads.append(F.format_string("Mean saving: %.1f%%", "savings_percent"))
+    top = summary.select(F.posexplode(F.array(*heads)).alias("n", "line"))
+    name = F.rpad(F.coalesce("command_name", F.lit("-")), 30, " ")
+    text = F.concat(F.lit("  "), name, F.lit(" "), F.format_string("%5dx  -%d tokens (%.0f%%)", "executions", "saved_tokens", "avg_percent"))
+    place = F.row_number().over(Window.orderBy(F.desc("saved_tokens"), "command_name"))  # commands are few
+    return top.unionByName(commands.select((place + len(heads) - 1).alias("n"), text.alias("line")))
+
+
 def by_command(metrics: DataFrame) -> DataFrame:
     """command_name, executions, saved_tokens, avg_percent (mean of the rows' percentages), execution_time_ms."""
     percent = F.when(_zero("input_tokens") > 0, (_zero("input_tokens") - _zero("output_tokens")) * 100.0 / F.col("input_tokens")).otherwise(0.0)

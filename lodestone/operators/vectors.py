@@ -16,10 +16,15 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """In double precision; 0 for null, empty or differently long vectors, and for a zero norm."""
+    """In double precision; 0 for null, empty or differently long vectors, for a zero norm and for values that are no numbers."""
     length = norm(a) * norm(b)
     value = F.when((F.size(a) == F.size(b)) & (length > 0), dot(a, b) / length)
-    return F.coalesce(value, F.lit(0.0))
+    return F.coalesce(F.nanvl(value, F.lit(0.0)), F.lit(0.0))
+
+
+def cosine_to(vector: Column, query: list[float]) -> Column:
+    """Cosine with a fixed vector; null for a null vector."""
+    return F.when(vector.isNotNull(), cosine(vector, F.array(*[F.lit(float(x)) for x in query])))
 
 
 def score_all(items: DataFrame, key: str, vector: str, queries: dict[str, list[float]]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -142,15 +143,88 @@ def setting_coalesce(s, d):
     return load(s, d, "documents").select("doc_id", T.setting(F.col("source"), F.col("lang"), F.lit("default")).alias("setting"))
 
 
-def _nested_replace(column: str) -> str:
-    for pattern, by in T.LOG_TOKENS:
-        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
-    return column
+#: Texts by hand with what is rare in the documents: syslog times, a bell, codes, merges, reports of commits.
+CASES = [
+    (-1, "Jan 15 12:34:56 host up\nFeb  1 02:03:04 host up\nMar 16 01:02:03 host up\nother\n"),
+    (-2, "1/Jan/2024:10:00:00 +0000 GET /a/b/c.txt 10.0.0.1:80\n15/Feb/2024:11:01:02 GET /x/y/z 10.0.0.2\n2024-01-15T12:00:00Z pid 123456\n2024-01-15 12:00:01.5+02:00 pid 654321"),
+    (-3, "id 0a1b2c3d-0000-1111-2222-0123456789ab done\nid ffffffff-0000-1111-2222-0123456789ab done\nsha 0123abcd\nsha 89abcdef01"),
+    (-4, "\x1b[31mred\x1b[0m \x07bell \x1b]0;title\x07end \x1b(B\x1b=x \x1b[2Kline"),
+    (-5, "commit a1\nAuthor: x\n\n    Merge branch 'y' is what this message quotes\ncommit b2\nMerge: 1 2\n\n    m\ncommit c3\nMerge branch z\ncommit d4\n\n    last"),
+    (-6, "noise\n   abc1234..def5678  main -> main\n * [new branch] x -> x"),
+    (-7, " * [new tag] v1 -> v1\n"),
+    (-8, "[main abc1234d] feat: more [x]\n 3 files changed"),
+    (-9, "[main abc12] short hash\n[main (root-commit) abc1234] first"),
+    (-10, '{"a": {"S" : "v \\"q\\""}, "b": {"N": "-3.5"}, "c": { "NULL" : true }, "d": {"BOOL": false}, "e": {"N": "x"}}'),
+    (-11, ""),
+]
 
 
-@query("log_normalize", f"SELECT doc_id, {_nested_replace('text')} AS line FROM documents WHERE path LIKE '%.log' AND text IS NOT NULL")
+def _literal(text: str) -> str:
+    parts = []
+    for c in re.split(r"([\n\x1b\x07])", text):
+        parts.append(f"chr({ord(c)})" if c in ("\n", "\x1b", "\x07") else "'" + c.replace("'", "''") + "'")
+    return " || ".join(parts)
+
+
+_CASES = "cases AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({i}, {_literal(t)})" for i, t in CASES) + ") v(doc_id, text))"
+
+
+def _cases(s, d):
+    own = s.createDataFrame(CASES, "doc_id long, text string")
+    return load(s, d, "documents").filter("text is not null").select("doc_id", "text").unionByName(own)
+
+
+#: What SQL replaces, written for itself.
+_NORMAL = "{0}"
+for _pattern, _by in (
+    (r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:?\d{2})?", "<ts>"),
+    (r"\d{1,2}/[A-Za-z]{3}/\d{4}:\d{2}:\d{2}:\d{2}(\s[+-]\d{4})?", "<ts>"),
+    (r"[A-Za-z]{3}\s+\d{1,2}\s+\d{2}:\d{2}:\d{2}", "<ts>"),
+    (r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", "<uuid>"),
+    (r"\b\d{1,3}(\.\d{1,3}){3}(:\d+)?\b", "<ip>"),
+    (r"\b[0-9a-fA-F]{8,40}\b", "<hex>"),
+    (r"/[A-Za-z0-9_./-]+/[A-Za-z0-9_.-]+", "<path>"),
+    (r"\b\d{5,}\b", "<n>"),
+):
+    _NORMAL = f"regexp_replace({_NORMAL}, '{_pattern}', '{_by}', 'g')"
+_normal = lambda column: _NORMAL.replace("{0}", column)
+_ROWS = "rows AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[1:len(l) - 1] ELSE l END AS l FROM (SELECT doc_id, string_split_regex(text, '\\r?\\n') AS l FROM cases))"
+
+
+@query("log_normalize", f"WITH {_CASES}, {_ROWS} SELECT doc_id, array_to_string(list_transform(l, lambda x: {_normal('x')}), chr(10)) AS out FROM rows")
 def log_normalize(s, d):
-    return load(s, d, "documents").filter("path like '%.log' and text is not null").select("doc_id", T.normalize_log(F.col("text")).alias("line"))
+    return _cases(s, d).select("doc_id", F.array_join(F.transform(T.lines(F.col("text")), T.normalize_log), "\n").alias("out"))
+
+
+@query("ansi_strip", rf"WITH {_CASES} SELECT doc_id, regexp_replace(chr(27) || '[1;36m' || text || chr(7), '\x1b\[[0-9;]*[A-Za-z]|\x1b[()][AB012]|\x1b[=>]|\x07|\x1b\].*?\x07', '', 'g') AS out FROM cases")
+def ansi_strip(s, d):
+    return _cases(s, d).select("doc_id", T.strip_ansi(F.concat(F.lit("\x1b[1;36m"), F.col("text"), F.lit("\x07"))).alias("out"))
+
+
+@query("git_log_blocks", rf"""WITH {_CASES} SELECT doc_id, coalesce(array_to_string(list_filter(string_split(regexp_replace(text, '(?m)^commit ', chr(1) || 'commit ', 'g'), chr(1)), lambda b: b <> '' AND NOT regexp_matches(b, '(?m)^Merge(:| branch)'))[1:50], ''), '') AS out FROM cases""")
+def git_log_blocks(s, d):
+    return _cases(s, d).select("doc_id", lines.git_log(F.col("text")).alias("out"))
+
+
+_TRIMMED = r"list_transform(l, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g'))"
+
+
+@query("push_reports", rf"""WITH {_CASES}, {_ROWS}, hits AS (SELECT doc_id, list_filter({_TRIMMED}, lambda x: contains(x, '->') AND NOT starts_with(x, '*'))[1] AS hit FROM rows)
+    SELECT doc_id, coalesce('ok ' || hit, text) AS out FROM cases JOIN hits USING (doc_id)""")
+def push_reports(s, d):
+    return _cases(s, d).select("doc_id", lines.push_to_ok(F.col("text")).alias("out"))
+
+
+@query("commit_reports", rf"""WITH {_CASES}, {_ROWS}, hits AS (SELECT doc_id, list_filter({_TRIMMED}, lambda x: regexp_matches(x, '^\[[^\s\]]+\s+[0-9a-f]{{7,}}\]\s+.+$'))[1] AS hit FROM rows)
+    SELECT doc_id, coalesce(regexp_replace(hit, '^\[([^\s\]]+)\s+([0-9a-f]{{7,}})\]\s+(.+)$', 'ok \2 \1: \3'), text) AS out FROM cases JOIN hits USING (doc_id)""")
+def commit_reports(s, d):
+    return _cases(s, d).select("doc_id", lines.commit_to_ok(F.col("text")).alias("out"))
+
+
+@query("typed_values", r"""WITH CASES SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\{\s*"S"\s*:\s*("([^"\\]|\\.)*")\s*\}', '\1', 'g'), '\{\s*"N"\s*:\s*"(-?[0-9.]+)"\s*\}', '\1', 'g'),
+    '\{\s*"BOOL"\s*:\s*(true|false)\s*\}', '\1', 'g'), '\{\s*"NULL"\s*:\s*true\s*\}', 'null', 'g') AS out FROM cases""".replace("CASES", _CASES, 1))
+def typed_values(s, d):
+    return _cases(s, d).select("doc_id", lines.unwrap_types(F.col("text")).alias("out"))
 
 
 # -- lexical ------------------------------------------------------------------------------
@@ -176,9 +250,11 @@ def bm25_penalized(s, d):
     return _bm25(s, d, weight=T.penalty(F.col("path"))).select("doc_id", F.round("score", 6).alias("score"))
 
 
+_CONFIG = r"regexp_matches(regexp_extract(path, '[^/]*$'), 'Config|Bootstrap|Application\.|\.config\.(ts|js|mjs)|\.module\.ts|build\.gradle|pom\.xml|(webpack|vite|jest)\.config\.|application\.(rb|properties|yml)')"
+
+
 @query("boilerplate_hint", f"""WITH {DOCS}, {_bm25_sql(extra=", path")}, best AS (SELECT * FROM everything WHERE score > 0 ORDER BY round(score, 6) DESC, path LIMIT 10)
-    SELECT coalesce(avg(CASE WHEN regexp_matches(lower(regexp_extract(path, '[^/]*$')), 'config|\\.json|\\.yml|\\.yaml|\\.toml|\\.lock|settings|webpack|babel|eslint|prettier|jest|tsconfig|vite|rollup|\\.env') THEN 1.0 ELSE 0.0 END), 0.0) AS share,
-    coalesce(avg(CASE WHEN regexp_matches(lower(regexp_extract(path, '[^/]*$')), 'config|\\.json|\\.yml|\\.yaml|\\.toml|\\.lock|settings|webpack|babel|eslint|prettier|jest|tsconfig|vite|rollup|\\.env') THEN 1.0 ELSE 0.0 END), 0.0) > 0.6 AS boilerplate FROM best""".replace("\\\\", "\\"))
+    SELECT coalesce(avg(CASE WHEN {_CONFIG} THEN 1.0 ELSE 0.0 END), 0.0) AS share, coalesce(avg(CASE WHEN {_CONFIG} THEN 1.0 ELSE 0.0 END), 0.0) > 0.6 AS boilerplate FROM best""")
 def boilerplate_hint(s, d):
     docs = load(s, d, "documents")
     rows = lexical.bm25(docs, "doc_id", {"q": QUERY}).join(docs.select("doc_id", "path"), "doc_id").withColumn("score", F.round("score", 6))
@@ -192,6 +268,13 @@ def low_variance_hint(s, d):
     return rows.withColumn("variance", F.round("variance", 6))
 
 
+@query("config_files", f"""SELECT id, {_CONFIG} AS config FROM (SELECT id, path FROM (SELECT id, file AS path FROM symbols) UNION ALL SELECT -row_number() OVER (), path FROM (SELECT unnest(['src/AppConfig.ts', 'vite.config.js', 'a/application.yml', 'pom.xml', 'x.json', 'config.py', 'app.module.ts', 'build.gradle.kts', 'Application.java', 'Bootstrap.groovy']) AS path))""")
+def config_files(s, d):
+    names = ["src/AppConfig.ts", "vite.config.js", "a/application.yml", "pom.xml", "x.json", "config.py", "app.module.ts", "build.gradle.kts", "Application.java", "Bootstrap.groovy"]
+    own = s.createDataFrame([(-1 - i, n) for i, n in enumerate(names)], "id long, path string")
+    return load(s, d, "symbols").select("id", F.col("file").alias("path")).unionByName(own).select("id", scan.config_file(F.col("path")).alias("config"))
+
+
 # -- vectors ------------------------------------------------------------------------------
 
 UNIT = [round(((i * 37) % 64) / 64 - 0.5, 6) for i in range(64)]
@@ -211,7 +294,18 @@ def knn_topk(s, d):
 # -- fusion and search --------------------------------------------------------------------
 
 CHUNK_DOCS = f"cdocs AS (SELECT id, {_tokens('content')} AS tokens FROM chunks WHERE content IS NOT NULL)"
-_COS = f"CASE WHEN len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0 THEN list_cosine_similarity(embedding::DOUBLE[], {_VECTOR}) ELSE 0.0 END"
+
+
+def embed(text: str) -> list[float]:
+    """Stand-in for a model: a vector that depends on the text's length."""
+    return [round(((i * 37 + len(text)) % 64) / 64 - 0.5, 6) for i in range(64)]
+
+
+def _cos(vector: list[float]) -> str:
+    return f"CASE WHEN len(embedding) = 64 AND list_sum(list_transform(embedding, lambda x: x::DOUBLE * x)) > 0 THEN list_cosine_similarity(embedding::DOUBLE[], {vector}::DOUBLE[]) ELSE 0.0 END"
+
+
+_COS = _cos(UNIT)
 _USABLE = "embedding IS NOT NULL AND NOT list_has_any(list_transform(embedding, lambda x: isnan(x)), [true])"
 _LISTS = f"""{CHUNK_DOCS}, {_bm25_sql("id", "cdocs")},
 lists AS (SELECT 'b_q' AS list_id, id, round(score, 6) AS score FROM everything
@@ -248,7 +342,10 @@ _TOP30 = f"WITH {_LISTS}, fused AS (SELECT id, round(sum({_CREDIT}), 9) AS score
 
 
 def _top30(s, d):
-    return fusion.top(fusion.rrf(_lists(s, d), "id").withColumn("score", F.round("score", 9)), "id", 30)
+    chunks = load(s, d, "chunks")
+    usable = F.when(~F.exists("embedding", lambda x: F.isnan(x)), F.col("embedding"))
+    wide = lexical.bm25_wide(chunks, "id", {"b_q": QUERY}, "content", keep={"e_q": vectors.cosine_to(usable, UNIT)})
+    return fusion.top_fused(wide.select("id", *[F.round(n, 6).alias(n) for n in ("b_q", "e_q")]), "id", {"b_q": 1.0, "e_q": 1.0}, 30).withColumn("score", F.round("score", 9))
 
 
 @query("top30", f"{_TOP30} SELECT id, round(score, 6) AS score FROM best")
@@ -272,7 +369,7 @@ def best_per_doc(s, d):
 def _searcher(s, d, **options):
     chunks = load(s, d, "chunks")
     usable = F.when(~F.exists("embedding", lambda x: F.isnan(x)), F.col("embedding"))
-    return search.Searcher(load(s, d, "documents"), chunks.withColumn("embedding", usable), embed=lambda q: UNIT, **options)
+    return search.Searcher(load(s, d, "documents"), chunks.withColumn("embedding", usable), embed=embed, **options)
 
 
 def _result(scored: str, limit: int = 10) -> str:
@@ -290,22 +387,41 @@ def search_exact(s, d):
     return _short(_searcher(s, d).search(f"exact: {QUERY}"))
 
 
-@query("search_conceptual", f"WITH few AS (SELECT id, {_COS} AS score FROM chunks WHERE {_USABLE} ORDER BY 2 DESC, 1 LIMIT 20), {_result('few')}")
+@query("search_conceptual", f"WITH few AS (SELECT id, {_cos(embed(QUERY))} AS score FROM chunks WHERE {_USABLE} ORDER BY 2 DESC, 1 LIMIT 20), {_result('few')}")
 def search_conceptual(s, d):
     return _short(_searcher(s, d).search(f"conceptual: {QUERY}"))
 
 
-@query("hybrid_search")
-def hybrid_search(s, d):
-    return _short(_searcher(s, d, judge=search.lexical_judge, variants=lambda q: ["cache layer", "embedding model"]).search(QUERY))
+_HEAD = "list_has_any(string_split_regex(lower(left(content, 500)), '[^a-z0-9]+'), ['token', 'budget', 'cache'])"
+VARIANTS = ["cache layer", "embedding model"]
+HYPOTHESIS = "the cache layer merges old rows"
+
+
+def _hybrid_sql(text: str, variants: list[str], judged: bool) -> str:
+    wordings = [text, *variants]
+    weights = [2, *[1] * len(variants)]
+    terms = ", ".join(f"({i}, '{t}')" for i, w in enumerate(wordings) for t in lexical.query_terms(w))
+    near = " UNION ALL ".join(f"SELECT 'e{i}' AS list_id, id, round({_cos(embed(w))}, 9) AS score, {weights[i]} AS weight FROM chunks WHERE {_USABLE}" for i, w in enumerate(wordings))
+    return f"""WITH {CHUNK_DOCS}, q(list, term) AS (VALUES {terms}), w(list, weight) AS (VALUES {", ".join(f"({i}, {x})" for i, x in enumerate(weights))}),
+stats AS (SELECT count(*) AS n, avg(len(tokens)) AS avgdl FROM cdocs),
+tf AS (SELECT id, len(tokens) AS dl, term, count(*) AS tf FROM (SELECT id, tokens, unnest(tokens) AS term FROM cdocs) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+hit AS (SELECT list, id, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN df USING (term) JOIN q USING (term), stats GROUP BY ALL),
+lists AS (SELECT 'b' || list AS list_id, id, round(coalesce(score, 0), 9) AS score, weight FROM (SELECT id, list, weight FROM cdocs, w) LEFT JOIN hit USING (id, list) UNION ALL {near}),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY list_id ORDER BY score DESC, id) - 1 AS pos FROM lists),
+fused AS (SELECT id, round(sum(weight * ({_CREDIT})), 12) AS score FROM ranked GROUP BY 1 ORDER BY score DESC, id LIMIT 30),
+judged AS (SELECT id, {"score * 1.5 AS score FROM fused JOIN chunks USING (id) WHERE " + _HEAD if judged else "score FROM fused"}),
+few AS (SELECT id, CASE WHEN max(score) OVER () - min(score) OVER () < 1e-12 THEN 1.0 ELSE (score - min(score) OVER ()) / (max(score) OVER () - min(score) OVER ()) END AS score FROM judged), {_result("few")}"""
 
 
-@query("search_expanded")
-def search_expanded(s, d):
-    return _short(_searcher(s, d, hypothesis=lambda q: "the cache layer merges old rows").search(f"expanded: {QUERY}"))
+@query("hybrid_search", _hybrid_sql(QUERY, VARIANTS, True))
+def hybrid_search(s, d):
+    return _short(_searcher(s, d, judge=search.lexical_judge, variants=lambda q: VARIANTS).search(QUERY))
 
 
-_HEAD = "list_has_any(string_split_regex(lower(left(content, 500)), '[^a-z0-9]+'), ['token', 'budget', 'cache'])"
+@query("search_expanded", _hybrid_sql(f"{QUERY} {HYPOTHESIS}", [], False))
+def search_expanded(s, d):
+    return _short(_searcher(s, d, hypothesis=lambda q: HYPOTHESIS).search(f"expanded: {QUERY}"))
 
 
 @query("rerank_boost", f"{_TOP30} SELECT id, round(score * 1.5, 6) AS score FROM best JOIN chunks USING (id) WHERE {_HEAD}")
@@ -365,6 +481,22 @@ def pending_queue(s, d):
     return indexing.pending(load(s, d, "chunks"), load(s, d, "documents"), "billing-adr", 100).select("id", "doc_id")
 
 
+@query("embed_pending", r"""SELECT id, strlen(input)::BIGINT AS size, len(input) - len(replace(input, 'e', ''))::BIGINT AS e FROM (SELECT id, CASE WHEN title = '' THEN coalesce(content, '') ELSE title || chr(10) || chr(10) || coalesce(content, '') END AS input
+    FROM (SELECT id, content, translate(regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\.[^.]*$', '\1'), '-_', '  ') AS title FROM chunks JOIN documents USING (doc_id) WHERE status IS DISTINCT FROM 'done' AND collection = 'billing-adr' ORDER BY id LIMIT 100))""")
+def embed_pending(s, d):
+    """A stand-in for a model gives each text its bytes and its letters e."""
+    model = lambda texts: [[float(len(t.encode())), float(t.count("e"))] for t in texts]
+    done = indexing.embed_pending(load(s, d, "chunks"), load(s, d, "documents"), "billing-adr", 100, model)
+    return done.select("id", F.col("embedding")[0].cast("long").alias("size"), F.col("embedding")[1].cast("long").alias("e"))
+
+
+@query("index_stats", f"""WITH {_OLD} SELECT count(*) AS scanned, count(*) FILTER (text IS NULL) AS errors, count(*) FILTER (text IS NOT NULL AND o.b IS NOT NULL AND n.content_hash IS NOT DISTINCT FROM o.content_hash) AS skipped,
+    count(*) FILTER (text IS NOT NULL AND (o.b IS NULL OR n.content_hash IS DISTINCT FROM o.content_hash)) AS indexed FROM documents n LEFT JOIN (SELECT *, true AS b FROM old) o ON n.collection = o.collection AND n.path = o.path""")
+def index_stats(s, d):
+    docs = load(s, d, "documents")
+    return indexing.stats(docs, _old(s, d))
+
+
 @query("done_chunks", "SELECT id, path FROM chunks JOIN documents USING (doc_id) WHERE status = 'done' AND embedding IS NOT NULL")
 def done_chunks(s, d):
     chunks = load(s, d, "chunks").filter("status = 'done' and embedding is not null")
@@ -406,9 +538,17 @@ def ext_language(s, d):
     return load(s, d, "documents").select("doc_id", scan.language(F.col("path")).alias("language"))
 
 
-@query("stack_detect", """SELECT collection, bool_or(path LIKE 'docs/%') AS has_docs FROM documents GROUP BY 1""")
+_ROOTS = "SELECT collection, path, text FROM documents UNION ALL SELECT * FROM (VALUES ('made', 'package.json', '{\"workspaces\": [], \"react\": 1}'), ('made', 'apps/web/index.ts', ''), ('made', 'packages/ui/a.ts', ''), ('made', 'README.md', NULL), ('made', 'Cargo.toml', ''), ('plain', 'apps/web/x', 'Gemfile'), ('plain', 'a/pom.xml', ''), (NULL, 'requirements.txt', ''))"
+
+
+@query("stack_detect", f"""SELECT collection, coalesce(bool_or(path = 'Cargo.toml'), false) AS rust, coalesce(bool_or(path = 'package.json'), false) AS node, coalesce(bool_or(path = 'package.json' AND contains(text, '"react"')), false) AS react,
+    coalesce(bool_or(path = 'Gemfile'), false) AS rails, coalesce(bool_or(path IN ('build.gradle', 'build.gradle.kts', 'pom.xml')), false) AS jvm, coalesce(bool_or(path IN ('requirements.txt', 'pyproject.toml')), false) AS python,
+    coalesce(bool_or(path IN ('turbo.json', 'nx.json') OR (path = 'package.json' AND contains(text, '"workspaces"'))), false) AS monorepo, coalesce(bool_or(starts_with(path, 'docs/')), false) AS has_docs, coalesce(bool_or(path IN ('README.md', 'README.rst')), false) AS has_readme,
+    CASE WHEN coalesce(bool_or(path IN ('turbo.json', 'nx.json') OR (path = 'package.json' AND contains(text, '"workspaces"'))), false) THEN coalesce(string_agg(DISTINCT nullif(regexp_extract(path, '^((apps|packages)/[^/]+)/', 1), ''), ' ' ORDER BY nullif(regexp_extract(path, '^((apps|packages)/[^/]+)/', 1), '')), '') ELSE '' END AS subprojects FROM (SELECT * FROM ({_ROOTS}) r(collection, path, text)) GROUP BY 1""")
 def stack_detect(s, d):
-    return load(s, d, "documents").groupBy("collection").agg(F.bool_or(F.col("path").startswith("docs/")).alias("has_docs"))
+    made = [("made", "package.json", '{"workspaces": [], "react": 1}'), ("made", "apps/web/index.ts", ""), ("made", "packages/ui/a.ts", ""), ("made", "README.md", None), ("made", "Cargo.toml", ""), ("plain", "apps/web/x", "Gemfile"), ("plain", "a/pom.xml", ""), (None, "requirements.txt", "")]
+    files = load(s, d, "documents").select("collection", "path", "text").unionByName(s.createDataFrame(made, "collection string, path string, text string"))
+    return scan.stack(files, by=["collection"]).withColumn("subprojects", F.array_join("subprojects", " "))
 
 
 # -- lines --------------------------------------------------------------------------------
@@ -434,15 +574,22 @@ query("line_filter_on_empty", f"WITH {_LOGS} SELECT doc_id, CASE WHEN o = '' THE
 query("line_filter_short_circuit", f"WITH {_LOGS} SELECT doc_id, CASE WHEN contains(text, 'cache') THEN 'has cache' ELSE array_to_string(rows, chr(10)) END AS out FROM logs JOIN documents USING (doc_id)")(_filtered(lines.Filter(strip_ansi=False, match=(("cache", "has cache"),))))
 
 
-@query("group_repeated")
+_FOLD = f"""list_reduce(list_transform(l, lambda x: {{'done': []::VARCHAR[], 'last': [{{'raw': x, 'norm': {_normal('x')}, 'n': 1}}]}}), lambda a, b: CASE
+    WHEN list_contains(list_transform(a.last, lambda e: e.norm), b.last[1].norm) THEN {{'done': a.done, 'last': list_transform(a.last, lambda e, i: CASE WHEN i = len(a.last) + 1 - list_position(list_reverse(list_transform(a.last, lambda f: f.norm)), b.last[1].norm) THEN {{'raw': e.raw, 'norm': e.norm, 'n': e.n + 1}} ELSE e END)}}
+    WHEN len(a.last) = 4 THEN {{'done': list_append(a.done, TEXT(a.last[1])), 'last': list_append(a.last[2:4], b.last[1])}} ELSE {{'done': a.done, 'last': list_append(a.last, b.last[1])}} END)"""
+_shown = lambda e: f"({e}.raw || CASE WHEN {e}.n > 1 THEN ' (×' || {e}.n || ')' ELSE '' END)"
+
+
+@query("group_repeated", f"""WITH {_CASES}, {_ROWS}, folded AS (SELECT doc_id, {_FOLD.replace("TEXT(a.last[1])", _shown("a.last[1]"))} AS f FROM rows WHERE len(l) > 0)
+    SELECT doc_id, coalesce(array_to_string(list_concat(f.done, list_transform(f.last, lambda e: {_shown("e")})), chr(10)), '') AS out FROM cases LEFT JOIN folded USING (doc_id)""")
 def group_repeated(s, d):
-    return _logs(s, d).filter("path like '%.log'").select("doc_id", F.array_join(lines.group_repeated(T.lines(F.col("text"))), "\n").alias("out"))
+    return _cases(s, d).select("doc_id", F.array_join(lines.group_repeated(T.lines(F.col("text"))), "\n").alias("out"))
 
 
 @query("compress_output")
 def compress_output(s, d):
-    """Program output by the built-in filter of its command; output of an unknown command is kept as it is."""
-    logs = _logs(s, d).filter("path like '%.log'").withColumn("command", lines.command_of(F.col("path"), F.col("text")))
+    """Texts by the built-in filter of the command that they are output of; others are kept as they are."""
+    logs = _logs(s, d).withColumn("command", lines.command_of(F.col("path"), F.col("text")))
     return lines.compress(logs, "command", "text").select("doc_id", "command", "filter", "filtered")
 
 
@@ -495,6 +642,17 @@ def savings_last_days(s, d):
     return usage.by_command(usage.executions(load(s, d, "execution_metrics"), days=30, today=FIXED)).withColumn("avg_percent", F.round("avg_percent", 6))
 
 
+@query("savings_report")
+def savings_report(s, d):
+    metrics = load(s, d, "execution_metrics")
+    return usage.report(usage.summary(metrics), usage.by_command(metrics))
+
+
+@query("recorded_usage", """SELECT id, raw_output_size // 4 AS input_tokens, filtered_output_size // 4 AS output_tokens, CASE WHEN raw_output_size // 4 > filtered_output_size // 4 THEN raw_output_size // 4 - filtered_output_size // 4 WHEN raw_output_size IS NULL OR filtered_output_size IS NULL THEN NULL ELSE 0 END AS saved_tokens FROM execution_metrics""")
+def recorded_usage(s, d):
+    return usage.record(load(s, d, "execution_metrics")).select("id", "input_tokens", "output_tokens", "saved_tokens")
+
+
 # -- graph --------------------------------------------------------------------------------
 
 _SITE = "concat_ws(':', file, CAST(line AS VARCHAR))"
@@ -531,6 +689,15 @@ def graph_budget(s, d):
     return _nodes(graph.callers(load(s, d, "calls"), load(s, d, "symbols"), "get", ["build"], 4000))
 
 
+@query("graph_result", f"""WITH {_nodes_sql("callee_name = 'get'", 'caller_qualified', True)}, c AS (SELECT *, sum(cost) OVER (ORDER BY score DESC, key) AS used FROM (SELECT * REPLACE (round(score, 9) AS score) FROM n))
+    SELECT (SELECT count(*) FROM calls WHERE callee_name = 'get' AND caller_qualified IS NOT NULL) AS total_found, count(*) AS nodes, count(*) < (SELECT count(*) FROM calls WHERE callee_name = 'get' AND caller_qualified IS NOT NULL) AS truncated FROM c WHERE used <= 4000""")
+def graph_result(s, d):
+    """Total and truncation of graph_budget."""
+    calls = load(s, d, "calls")
+    kept = graph.callers(calls, load(s, d, "symbols"), "get", ["build"], 4000)
+    return graph.totals(calls, F.col("callee_name") == "get", "caller_qualified", kept)
+
+
 @query("graph_node", "SELECT id, qualified, kind, file, line FROM symbols WHERE name = 'decode_target'")
 def graph_node(s, d):
     return graph.node(load(s, d, "symbols"), "decode_target").select("id", "qualified", "kind", "file", "line")
@@ -582,12 +749,6 @@ def _file_parts(s, d):
     return graph.personalization(nodes, "file"), refs, defs
 
 
-@query("file_graph_edges", f"WITH {_EDGES} SELECT src, dst, w::BIGINT AS weight FROM edges")
-def file_graph_edges(s, d):
-    _, refs, defs = _file_parts(s, d)
-    return graph.file_edges(refs, defs)
-
-
 def _rank_sql(k: int) -> str:
     steps = ["out AS (SELECT src, sum(w) AS o FROM edges GROUP BY 1)", "size AS (SELECT count(*)::DOUBLE AS n FROM files)", "x0 AS (SELECT file, 1 / n AS x FROM files, size)"]
     for i in range(1, k + 1):
@@ -603,13 +764,6 @@ def pagerank_3(s, d):
     return ranks.select(F.col("node").alias("file"), F.round("rank", 8).alias("rank"))
 
 
-@query("pagerank_edges_2", _rank_sql(2))
-def pagerank_edges_2(s, d):
-    nodes, refs, defs = _file_parts(s, d)
-    ranks = graph.pagerank(nodes, graph.file_edges(refs, defs), iterations=2, tolerance=None)
-    return ranks.select(F.col("node").alias("file"), F.round("rank", 8).alias("rank"))
-
-
 @query("pagerank")
 def pagerank(s, d):
     """Converged, personalized by the five best files for the fixed query (by path and symbols) and the seed folders."""

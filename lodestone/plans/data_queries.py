@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.common import load
+from lodestone.common import ensure_checkpoint_dir, load
 from lodestone.operators import hotkeys, incremental, rolling
 
 FIRST, FULL, LAST = dt.date(2025, 3, 1), dt.date(2025, 3, 30), dt.date(2025, 5, 29)
@@ -27,8 +28,10 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _states(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    recorded = incremental.recorded_state(load(spark, d, "snapshots"), load(spark, d, "index_runs"))
-    return incremental.current_state(load(spark, d, "documents")), recorded
+    documents = load(spark, d, "documents")
+    buckets = incremental.bucket_count(documents)
+    recorded = incremental.recorded_state(load(spark, d, "snapshots"), load(spark, d, "index_runs"), buckets)
+    return incremental.current_state(documents, buckets), recorded
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +42,34 @@ def p6_changes(spark: SparkSession, d: str) -> DataFrame:
     return incremental.changes(*_states(spark, d))
 
 
+def p6_runs(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, digest, times: the state after a run over documents that broke off half-way and
+    one that went through, and how often each document was processed."""
+    folder = f"{ensure_checkpoint_dir(spark)}/p6-{uuid.uuid4().hex}"
+    documents = load(spark, d, "documents")
+    job = incremental.Incremental(spark, f"{folder}/state", parts=8, at_once=4)
+    job.start(_states(spark, d)[1])
+    calls = []
+
+    def process(work: DataFrame) -> DataFrame:
+        calls.append(1)
+        if len(calls) == 2:
+            raise InterruptedError
+        work.select("doc_id").write.mode("append").parquet(f"{folder}/done")
+        return work.select("doc_id", F.length("text").alias("characters"))
+
+    for _ in range(2):
+        try:
+            job.run(documents, process)
+        except InterruptedError:
+            pass
+    done = spark.read.parquet(f"{folder}/done").groupBy("doc_id").agg(F.count("*").alias("times"))
+    live = job.state().filter("live").select(*incremental.KEY, "digest")
+    named = incremental.current_state(documents, 1).select(*[F.col(k).alias(f"_{k}") for k in incremental.KEY], "doc_id")
+    rows = live.join(named, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in incremental.KEY])
+    return rows.join(done, "doc_id", "left").select("doc_id", "digest", F.coalesce("times", F.lit(0)).alias("times"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return hotkeys.dominant(hotkeys.both_fields(hotkeys.call_sites(load(spark, d, "calls")), full=False))
 
@@ -108,6 +139,10 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN r.there IS NULL THEN 'new' WHEN c.here IS NULL THEN 'deleted' ELSE 'changed' END AS change
             FROM (SELECT *, true AS here FROM current_state) c FULL JOIN (SELECT *, true AS there FROM recorded) r ON c.collection = r.collection AND c.path = r.path
             WHERE r.there IS NULL OR c.here IS NULL OR c.digest IS DISTINCT FROM r.digest""",
+        "p6_runs": f"""WITH {_STATES}
+            SELECT doc_id, c.digest AS digest, CASE WHEN r.there IS NULL OR c.digest IS DISTINCT FROM r.digest THEN 1 ELSE 0 END AS times
+            FROM current_state c LEFT JOIN (SELECT *, true AS there FROM recorded) r
+            ON c.collection IS NOT DISTINCT FROM r.collection AND c.path IS NOT DISTINCT FROM r.path""",
         "p7_found": f"""WITH {_SITES} SELECT key_field, key_value FROM keys WHERE call_sites * 100 >= 2 * (SELECT count(*) FROM sites)""",
         "p7_keys": f"""WITH {_SITES} SELECT key_field, key_value, call_sites, counterparts, files, round(call_sites / (SELECT count(*) FROM sites)::DOUBLE, 6) AS share FROM keys""",
     }

@@ -17,8 +17,9 @@ __tests__ contrib .claude .husky .github .vscode .idea .serverless .turbo .nx .n
 LANGUAGES = {"rb": "ruby", "rake": "ruby", "groovy": "groovy", "gradle": "groovy", "py": "python", "ts": "typescript", "tsx": "tsx", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "rs": "rust", "java": "java", "go": "go"}
 RUBY_NAMES = ["Rakefile", "Gemfile", "Capfile"]
 
-#: Parts of names of configuration files.
-CONFIG = ["config", ".json", ".yml", ".yaml", ".toml", ".lock", "settings", "webpack", "babel", "eslint", "prettier", "jest", "tsconfig", "vite", "rollup", ".env"]
+#: Parts of names of configuration files, as they are written.
+CONFIG = """Config Bootstrap Application. .config.ts .config.js .config.mjs .module.ts build.gradle build.gradle.kts pom.xml
+webpack.config. vite.config. jest.config. application.rb application.properties application.yml""".split()
 
 #: What is indexed of a folder of documents by default.
 DOCUMENT_GLOBS = ["*.md", "*.txt", "*.rst", "README*", "CHANGELOG*"]
@@ -53,7 +54,8 @@ def language(path: Column) -> Column:
 
 
 def config_file(path: Column) -> Column:
-    return F.lower(file_name(path)).rlike("|".join(re.escape(c) for c in CONFIG))
+    """The file's name holds a part that only names of configuration files have."""
+    return file_name(path).rlike("|".join(re.escape(c) for c in CONFIG))
 
 
 def below_worktrees(files: DataFrame, path: str, git_files: DataFrame) -> DataFrame:
@@ -125,18 +127,27 @@ def read_documents(spark: SparkSession, root: str, include: list[str] = DOCUMENT
     return read_texts(spark, [root]).filter(included(F.col("path"), include, exclude)).dropDuplicates(["path"])
 
 
-def stack(files: DataFrame, path: str = "path") -> DataFrame:
-    """One row of flags: what the root folder's file names say about a workspace."""
-    root = F.when(depth(F.col(path)) == 1, F.col(path))
-    has = lambda *names: F.coalesce(F.bool_or(root.isin(*names)), F.lit(False))
-    return files.agg(
+def stack(files: DataFrame, path: str = "path", text: str = "text", by: list[str] = []) -> DataFrame:
+    """What the root folder's file names say about a workspace, a row per ``by`` (or one row).
+
+    Flags rust, node, react, rails, jvm, python, monorepo, has_docs, has_readme, and
+    ``subprojects``: the sorted folders below apps and packages of a monorepo, else empty.
+    A null path or text (or no column of texts) says nothing. Flags and sets are combined map-side.
+    """
+    at, content = F.col(path), F.col(text) if text in files.columns else F.lit(None).cast("string")
+    has = lambda *names: F.coalesce(F.bool_or(at.isin(*names)), F.lit(False))
+    package = lambda word: F.coalesce(F.bool_or((at == "package.json") & content.contains(word)), F.lit(False))
+    below = F.coalesce(F.bool_or(at.startswith("docs/")), F.lit(False))
+    rows = files.groupBy(*by).agg(
         has("Cargo.toml").alias("rust"),
         has("package.json").alias("node"),
-        has("pyproject.toml", "setup.py", "requirements.txt").alias("python"),
-        has("go.mod").alias("go"),
-        has("Gemfile").alias("ruby"),
-        has("pom.xml", "build.gradle", "build.gradle.kts").alias("jvm"),
-        has("turbo.json", "nx.json").alias("monorepo"),
-        F.coalesce(F.bool_or(F.lower(root).startswith("readme")), F.lit(False)).alias("has_readme"),
-        F.coalesce(F.bool_or(F.col(path).startswith("docs/")), F.lit(False)).alias("has_docs"),
+        package('"react"').alias("react"),
+        has("Gemfile").alias("rails"),
+        has("build.gradle", "build.gradle.kts", "pom.xml").alias("jvm"),
+        has("requirements.txt", "pyproject.toml").alias("python"),
+        (has("turbo.json", "nx.json") | package('"workspaces"')).alias("monorepo"),
+        below.alias("has_docs"),
+        has("README.md", "README.rst").alias("has_readme"),
+        F.sort_array(F.collect_set(F.nullif(F.regexp_extract(at, "^((?:apps|packages)/[^/]+)/", 1), F.lit("")))).alias("subprojects"),
     )
+    return rows.withColumn("subprojects", F.when(F.col("monorepo"), F.col("subprojects")).otherwise(F.array().cast("array<string>")))

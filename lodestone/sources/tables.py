@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -47,24 +47,67 @@ def append(rows: DataFrame, path: str, partition: list[str] = []) -> None:
     (writer.partitionBy(*partition) if partition else writer).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file system of ``path`` and a function from names to its paths."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Finish or undo a :func:`replace` that broke off: the table is never without one whole version.
+
+    A missing table is the new version if that is complete, else the old one that was put
+    aside; what else is left over is removed.
+    """
+    files, at = _files(spark, path)
+    stem = path.rstrip("/")
+    if not files.exists(at(path)):
+        if files.exists(at(f"{stem}.next/_SUCCESS")):
+            files.rename(at(f"{stem}.next"), at(path))
+        elif files.exists(at(f"{stem}.old")):
+            files.rename(at(f"{stem}.old"), at(path))
+    if files.exists(at(path)):
+        files.delete(at(f"{stem}.old"), True)
+        files.delete(at(f"{stem}.next"), True)
+
+
 def replace(rows: DataFrame, path: str) -> None:
-    """Overwrite a table that ``rows`` may have been read from: written beside it, then renamed."""
+    """Overwrite a table that ``rows`` may have been read from: written beside it, the old
+    version put aside, the new one renamed, and only then the old one deleted. After a
+    failure at any point :func:`recover`, which readers call, finds a whole version."""
     spark = rows.sparkSession
-    aside = f"{path.rstrip('/')}.next"
-    rows.write.mode("overwrite").parquet(aside)
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(path)
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    files.rename(new, old)
+    stem = path.rstrip("/")
+    files, at = _files(spark, path)
+    rows.write.mode("overwrite").parquet(f"{stem}.next")
+    if files.exists(at(path)):
+        files.delete(at(f"{stem}.old"), True)
+        files.rename(at(path), at(f"{stem}.old"))
+    files.rename(at(f"{stem}.next"), at(path))
+    files.delete(at(f"{stem}.old"), True)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    """The table, after :func:`recover`; without rows if there is none yet."""
+    recover(spark, path)
+    files, at = _files(spark, path)
+    return spark.read.schema(schema).parquet(path) if files.exists(at(path)) else spark.createDataFrame([], schema)
+
+
+class Cache:
+    """A table of results by the key of all parameters that they depend on: finished maps,
+    a file's signatures by path and content hash, wordings and judgements of models."""
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
 
+    def rows(self) -> DataFrame:
+        return read_or_empty(self.spark, self.path, self.schema)
 
-def table_path(root: str, name: str) -> str:
-    return os.path.join(root, name)
+    def get(self, asked: DataFrame, compute: Callable[[DataFrame], DataFrame], key: list[str]) -> DataFrame:
+        """Rows of the cache for ``asked`` (key and whatever ``compute`` needs); what is missing is
+        computed once, appended, and read back. A key with several rows keeps them all."""
+        known = self.rows()
+        misses = asked.join(known.select(*key).dropDuplicates(), key, "left_anti")
+        append(compute(misses).select(*known.columns), self.path)
+        return self.rows().join(asked.select(*key).dropDuplicates(), key, "left_semi")

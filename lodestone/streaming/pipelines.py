@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.common import fingerprint
 from lodestone.operators.lines import Filter, apply
+from lodestone.sources.tables import replace
 
 
 def read(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFrame:
@@ -15,12 +16,18 @@ def read(spark: SparkSession, path: str, schema, max_files: int = 100) -> DataFr
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def daily_usage(metrics: DataFrame, late: str = "2 days") -> DataFrame:
-    """Executions and tokens per day and command; rows later than the watermark are dropped,
-    rows sent twice within it count once."""
+def daily_usage(metrics: DataFrame, resent: str = "2 days") -> DataFrame:
+    """Executions and tokens per day and command of everything that has arrived.
+
+    Clocks may be far off, so no watermark is driven by them: rows sent twice are told
+    within ``resent`` of their arrival, and a day's figures stay open, however late a row.
+    That state has a row per day and command, whatever the number of executions. For
+    :func:`write_whole`, as every figure may still change.
+    """
     one, two = fingerprint(*[c for c in metrics.columns if c != "id"])
-    once = metrics.withColumn("_a", one).withColumn("_b", two).withWatermark("timestamp", late).dropDuplicates(["timestamp", "_a", "_b"])
-    return once.groupBy(F.window("timestamp", "1 day"), "command_name").agg(F.count("*").alias("executions"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens")).select(F.to_date("window.start").alias("day"), "command_name", "executions", "input_tokens", "output_tokens")
+    arrived = metrics.withColumn("_a", one).withColumn("_b", two).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", resent)
+    once = arrived.dropDuplicatesWithinWatermark(["_a", "_b"])
+    return once.groupBy(F.to_date("timestamp").alias("day"), "command_name").agg(F.count("*").alias("executions"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
 
 
 def filtered_output(logs: DataFrame, spec: Filter, text: str = "text") -> DataFrame:
@@ -31,3 +38,9 @@ def filtered_output(logs: DataFrame, spec: Filter, text: str = "text") -> DataFr
 def write(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Write what has arrived, then stop."""
     return df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+
+
+def write_whole(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keep a table equal to the whole result: each batch replaces it; then stop."""
+    writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True)
+    return writer.foreachBatch(lambda rows, _: replace(rows, path)).start()

@@ -85,7 +85,9 @@ def test_extraction(spark):
 
 def test_routes():
     assert len(extract.rails_routes("resources :users\n")) == 8
-    assert extract.rails_routes("namespace :admin do\n get 'x', to: 'a#b'\nend\nget 'y' => 'c#d'\n") == [("GET", "/admin/x", "admin/a::b", 2), ("GET", "/y", "c::d", 4)]
+    assert extract.rails_routes("namespace :admin do\n get 'x', to: 'a#b'\nend\nget 'y' => 'c#d'\n") == [("GET", "/admin/x", "a_controller::b", 2), ("GET", "/y", "c_controller::d", 4)]
+    assert {h for _, _, h, _ in extract.rails_routes("resources :users, only: [:index]\n")} == {f"users_controller::{a}" for a in "index new create show edit update destroy".split()}
+    assert extract.rails_routes("delete :logout, to: 'sessions#destroy'\n") == [("DELETE", "/sessions#destroy", "sessions_controller::destroy", 1)]  # the first quoted text is the path
     assert len(extract.grails_routes('"/books"(resources: "book")')) == 5
     assert extract.nest_routes("@Controller('c')\nclass C {\n@All()\nx() {}\n") == [("ANY", "/c", "C::x", 3)]
 
@@ -135,8 +137,87 @@ def test_streaming(spark, tmp_path):
 
     schema = "id long, timestamp timestamp, command_name string, input_tokens long, output_tokens long"
     at = dt.datetime(2025, 1, 1, 10)
-    spark.createDataFrame([(1, at, "git", 5, 1), (2, at, "git", 5, 1), (3, at + dt.timedelta(days=9), "ls", 1, 1)], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    rows = spark.read.parquet(str(tmp_path / "in"))
-    stream = pipelines.daily_usage(pipelines.read(spark, str(tmp_path / "in"), rows.schema))
-    pipelines.write(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    assert [(r.command_name, r.executions, r.input_tokens) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("git", 1, 5)]
+    source, out, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    # a clock that is far ahead in the first batch drops nothing of the second
+    for rows in ([(1, at, "git", 5, 1), (2, at, "git", 5, 1), (3, at + dt.timedelta(days=900), "ls", 1, 1)], [(4, at, "git", 7, 1), (5, at, "git", 5, 1), (6, None, "ls", 2, None)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = pipelines.daily_usage(pipelines.read(spark, source, spark.read.parquet(source).schema))
+        pipelines.write_whole(stream, out, check).awaitTermination()
+    found = {(r.day, r.command_name): (r.executions, r.input_tokens) for r in spark.read.parquet(out).collect()}
+    assert found == {(at.date(), "git"): (2, 12), ((at + dt.timedelta(days=900)).date(), "ls"): (1, 1), (None, "ls"): (1, 2)}
+
+
+def test_replace_survives_failure(spark, tmp_path):
+    import shutil
+
+    path = str(tmp_path / "t")
+    one, two = spark.createDataFrame([(1,)], "k long"), spark.createDataFrame([(2,)], "k long")
+    read = lambda: [r.k for r in tables.read_or_empty(spark, path, "k long").collect()]
+    tables.replace(one, path)
+    two.write.parquet(path + ".next")  # died before anything was renamed
+    assert read() == [1]
+    two.write.parquet(path + ".next")  # died between both renames
+    shutil.move(path, path + ".old")
+    assert read() == [2]
+    shutil.move(path, path + ".old")  # the new version isn't complete
+    (tmp_path / "t.next").mkdir()
+    assert read() == [2] and sorted(p.name for p in tmp_path.iterdir()) == ["t"]
+
+
+def test_cache(spark, tmp_path):
+    cache = tables.Cache(spark, str(tmp_path / "cache"), "k long, v string")
+    asked, computed = spark.createDataFrame([(1, "a"), (2, "b")], "k long, text string"), []
+
+    def compute(missing):
+        computed.append(sorted(r.k for r in missing.collect()))
+        return missing.select("k", F.upper("text").alias("v"))
+
+    assert {tuple(r) for r in cache.get(asked.filter("k = 1"), compute, ["k"]).collect()} == {(1, "A")}
+    assert {tuple(r) for r in cache.get(asked, compute, ["k"]).collect()} == {(1, "A"), (2, "B")} and computed == [[1], [2]]
+
+
+def test_top_fused_equals_ranking_everything(spark):
+    import random
+
+    draw = random.Random(5)
+    for n in (0, 7, 400):
+        rows = [(i, draw.choice([None, 0.0, 0.0, 0.0, 1.0, round(draw.random(), 1)]), draw.choice([None, round(draw.random(), 2), 0.5])) for i in range(n)]
+        wide = spark.createDataFrame(rows, "id long, a double, b double")
+        lists = wide.selectExpr("id", "stack(2, 'a', a, 'b', b) as (list_id, score)").filter("score is not null")
+        weights = {"a": 2.0, "b": 1.0}
+        every = fusion.rrf(fusion.positions(lists, "id"), "id", weights).withColumn("score", F.round("score", 12))
+        for k in (5,):
+            assert [tuple(r) for r in fusion.top(every.select("id", "score"), "id", k).collect()] == [tuple(r) for r in fusion.top_fused(wide, "id", weights, k).collect()]
+    assert fusion.depth_of([2, 1, 1, 2, 1, 1], 30) == 8 * 90 - 60
+
+
+def test_enclosing_over_many_partitions(spark):
+    import random
+
+    draw = random.Random(3)
+    defs = [(draw.choice("abc"), draw.randint(1, 60), i, f"d{i}") for i in range(40)] + [("hot", 5, 100, "h5"), ("hot", 900, 101, "h900")]
+    sites = [(i, draw.choice("abcd"), draw.randint(1, 80)) for i in range(200)] + [(1000 + i, "hot", draw.choice([1, 7, 7, 7, 950])) for i in range(400)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        found = graph.enclosing(spark.createDataFrame(defs, "file string, line int, ord long, qualified string"), spark.createDataFrame(sites, "id long, file string, line int"))
+        got = {r.id: r.caller_qualified for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {i: max(((line, o, q) for f, line, o, q in defs if f == file and line <= at), default=(0, 0, f"{file}::<top>"))[2] for i, file, at in sites}
+    assert got == want
+    assert graph.enclosing(spark.createDataFrame([], "file string, line int, ord long, qualified string"), spark.createDataFrame([], "id long, file string, line int")).count() == 0
+
+
+def test_path_context_few_and_many(spark):
+    rows = spark.createDataFrame([(1, "c", "docs/a/x.md"), (2, "c", "docs/b"), (3, "c", "src/x"), (4, "d", "docs/a/x.md"), (5, None, None), (6, "c", None)], "doc_id long, collection string, path string")
+    contexts = spark.createDataFrame([("c", "docs/", "all", 1), ("c", "docs/a/", "low", 1), ("c", "docs/a/", "high", 2), (None, "docs/", "none", 1), ("c", None, "none", 1)], "collection string, path_prefix string, description string, priority long")
+    for few in (100, 1):
+        assert {r.doc_id: r.context for r in indexing.path_context(rows, contexts, few).collect()} == {1: "high", 2: "all", 3: None, 4: None, 5: None, 6: None}
+
+
+def test_stack(spark):
+    files = spark.createDataFrame([("package.json", '"workspaces"'), ("apps/a/x", ""), (None, None)], "path string, text string")
+    row = scan.stack(files).first()
+    assert row.node and row.monorepo and row.subprojects == ["apps/a"] and not row.react

@@ -59,9 +59,15 @@ def test_all_filters_run(spark):
 def test_preprocess(spark):
     assert one(spark, lines.git_log(F.col("x")), "commit a\nx\ncommit b\nMerge: 1 2\ncommit c\ny") == "commit a\nx\ncommit c\ny"
     assert one(spark, lines.push_to_ok(F.col("x")), "To x\n  1..2 main -> main") == "ok 1..2 main -> main"
-    assert one(spark, lines.commit_to_ok(F.col("x")), "[main abc123] Fix it\n 1 file") == "ok abc123 main: Fix it"
+    assert one(spark, lines.commit_to_ok(F.col("x")), "[main abc1234] Fix it\n 1 file") == "ok abc1234 main: Fix it"
+    assert one(spark, lines.commit_to_ok(F.col("x")), "[main abc123] six digits") == "[main abc123] six digits"
+    quoted = "commit a\n\n    Merge branch 'x'\ncommit b\nMerge branch x\n"
+    assert one(spark, lines.git_log(F.col("x")), quoted) == "commit a\n\n    Merge branch 'x'\n"
+    assert one(spark, lines.unwrap_types(F.col("x")), '{"S" : "a"} {"N": "x"}') == '"a" {"N": "x"}'
     assert one(spark, lines.unwrap_types(F.col("x")), '{"a": {"S": "v"}, "b": {"N": "3"}, "c": {"NULL": true}}') == '{"a": "v", "b": 3, "c": null}'
     policy = '{\n"PolicyDocument": {\n"a": {\n}\n},\n"b": 1\n}'
+    inline = 'x\n  "PolicyDocument": {"a": {}},\ny "PolicyDocument": {\n'
+    assert one(spark, lines.strip_policies(F.col("x")), inline) == 'x\n  "PolicyDocument": "<policy>",\ny "PolicyDocument": {'
     assert one(spark, lines.strip_policies(F.col("x")), policy) == '{\n"PolicyDocument": "<policy>",\n"b": 1\n}'
 
 
@@ -70,6 +76,9 @@ def test_stages(spark):
     assert f(lines.Filter(head=2, tail=2), "a\nb\nc\n") == "a\nb\nb\nc"
     assert f(lines.Filter(most=2), "a\nb\nc") == "a\nb\n[... truncado: mostrando 2 de 3 linhas]"
     assert f(lines.Filter(match=(("up-to-date", "ok"),)), "all up-to-date") == "ok"
+    excepted = lines.Filter(match=(("ok", "fine", "WARNING"), ("WARN", "warned")))
+    assert f(excepted, "ok") == "fine" and f(excepted, "ok WARNING") == "warned" and f(lines.Filter(match=(("ok", "fine", "no"),)), "ok no") == "ok no"
+    assert f(lines.Filter(), "a\x07b\x1b]0;t\x07") == "ab"
     assert f(lines.Filter(keep=("x",), on_empty="(none)"), "a\nb") == "(none)"
     assert f(lines.Filter(replacements=(("a+", "b"),)), "caat") == "cbt"
 

@@ -148,7 +148,7 @@ def test_routes_of_documents(spark, tmp_path):
     spark.createDataFrame([*ROUTE_FILES, ("a.md", "resources :users"), ("b.rb", None)], "path string, text string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {(r.path, r.method, r.route, r.handler) for r in __spark_entry__.queries()["routes"](spark, str(tmp_path)).collect()}
     assert len(found) == 8 + 1 + 5 + 1 + 3
-    assert {("config/routes.rb", "GET", "/admin/stats", "admin/stats::show"), ("grails-app/conf/UrlMappings.groovy", "ANY", "/x/:id", "ThingController::index"), ("src/cats.controller.ts", "GET", "/cats/:id", "CatsController::findOne")} <= found
+    assert {("config/routes.rb", "GET", "/admin/stats", "stats_controller::show"), ("grails-app/conf/UrlMappings.groovy", "ANY", "/x/:id", "ThingController::index"), ("src/cats.controller.ts", "GET", "/cats/:id", "CatsController::findOne")} <= found
     symbols = {(r.qualified, r.callee_name) for r in __spark_entry__.queries()["route_symbols"](spark, str(tmp_path)).collect()}
     assert len(symbols) == 18 and ("route::ANY /cats/any", "any") in symbols
 
