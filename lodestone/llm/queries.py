@@ -19,10 +19,30 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("chunk_id_a"), F.col("id_b").alias("chunk_id_b"))
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Every usable chunk with its class of equal vectors and the number of similar classes."""
+    return neighbours.linked(*neighbours.similar_classes(load(spark, d, "chunks"), 0.95))
+
+
 def p1_nearest(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.knn(load(spark, d, "chunks"), 10)
 
 
+ASKED = "id % 20 = 0"
+
+
+def p1_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar of all chunks for every chunk whose id is divisible by 20."""
+    return neighbours.knn(load(spark, d, "chunks"), 10, asked=F.expr(ASKED))
+
+
+def p1_recall(spark: SparkSession, d: str) -> DataFrame:
+    """How much of the exact ten p1_search finds, by comparing its queries with all chunks."""
+    chunks = load(spark, d, "chunks")
+    row = neighbours.recall(p1_search(spark, d), neighbours.brute_force(chunks, chunks.filter(ASKED), 10))
+    return row.select("queries", "neighbours", F.round("recall", 4).alias("recall"))
+
+
 def _records(spark: SparkSession, d: str) -> DataFrame:
     return distinctive.text_records(load(spark, d, "chunks"), load(spark, d, "symbols"))
 

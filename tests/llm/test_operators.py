@@ -30,6 +30,21 @@ def frame(spark, x, extra=()):
 BAD = [(9001, None), (9002, [1.0] * 5), (9003, [0.0] * 16), (9004, [float("nan")] + [1.0] * 15), (9005, [])]
 
 
+SMALL = {"shard": 120, "per_shard": 8, "leaf": 20}  #: several shards, and trees in them
+
+
+def test_trees_split(spark):
+    shards = neighbours.Shards(frame(spark, vectors(600)), dim=16, **SMALL)
+    assert shards.tree.leaves >= 4
+    x = vectors(600).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree, rows = neighbours._leaves(x, 20)
+    assert tree.leaves > 20 and sorted(np.concatenate(rows)) == list(range(600))
+    assert neighbours._leaves(np.tile(x[:1], (50, 1)), 20)[0].leaves == 1  # what can't be told apart stays together
+    near = sum(len(r) for _, r, _ in tree.route(x, np.full(600, 0.01, np.float32)))
+    assert 600 <= near < 0.2 * 600 * tree.leaves and sum(len(r) for _, r, _ in tree.route(x, np.full(600, 2.0, np.float32))) == 600 * tree.leaves
+
+
 def test_pairs_with_copies_and_bad_rows(spark):
     x = vectors(600)
     copies = [(5000 + i, [float(v) for v in x[3] * (i + 1)]) for i in range(6)]
@@ -40,23 +55,26 @@ def test_pairs_with_copies_and_bad_rows(spark):
     s = unit @ unit.T
     exact = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if s[i, j] >= 0.95}
     unsure = {(ids[i], ids[j]) for i in range(len(ids)) for j in range(i + 1, len(ids)) if abs(s[i, j] - 0.95) < 1e-3}
-    got = [(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 0.95, factor=1.0, dim=16, sample=64).collect()]
+    got = [(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 0.95, factor=1.0, dim=16, **SMALL).collect()]
     assert len(got) == len(set(got)) and set(got) - unsure == exact - unsure
-    some = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 0.95, dim=16, sample=64).collect()}
+    some = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(df, 0.95, dim=16, **SMALL).collect()}
     assert len(some & exact) >= 0.97 * len(exact) and some - unsure <= exact
 
 
-def test_large_class_is_a_star(spark):
+def test_classes_and_links(spark):
     x = np.tile(vectors(1), (30, 1))
-    x = np.concatenate([x, x[:1] + 0.01 * vectors(1, seed=5)])
-    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(frame(spark, x), 0.95, dim=16, star=10).collect()}
-    assert got == {(0, i) for i in range(1, 31)}
+    x = np.concatenate([x, x[:1] + 0.01 * vectors(1, seed=5), -x[:1]])
+    members, links = neighbours.similar_classes(frame(spark, x, BAD), 0.95, dim=16)
+    assert {(r.id, r.rep, r.copies) for r in members.collect()} == {*((i, 0, 30) for i in range(30)), (30, 30, 1), (31, 31, 1)}
+    assert [(r.rep_a, r.rep_b) for r in links.collect()] == [(0, 30)]
+    assert {(r.id, r.links) for r in neighbours.linked(members, links).collect()} == {*((i, 1) for i in range(31)), (31, 0)}
+    assert {(r.id_a, r.id_b) for r in neighbours.expand(members, links).collect()} == {(i, j) for j in range(31) for i in range(j)}
 
 
-@pytest.mark.parametrize(("dim", "options"), [(64, {}), (16, {"factor": 2.0})])
+@pytest.mark.parametrize(("dim", "options"), [(64, {"factor": 5.0}), (16, {"factor": 4.0}), (16, {"factor": 1.0, "kind": neighbours.FULL})])
 def test_nearest_recall(spark, dim, options):
     x = vectors(800, dim)
-    rows = neighbours.knn(frame(spark, x, BAD), 5, dim=dim, sample=128, **options).collect()
+    rows = neighbours.knn(frame(spark, x, BAD), 5, dim=dim, **SMALL, **options).collect()
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = unit @ unit.T
     np.fill_diagonal(s, -2)
@@ -65,12 +83,22 @@ def test_nearest_recall(spark, dim, options):
     for r in rows:
         got.setdefault(r.id, []).append(r.neighbour)
     assert set(got) == set(range(800)) and all(len(v) == 5 for v in got.values())
-    assert np.mean([len(set(best[i]) & set(got[i])) / 5 for i in range(800)]) >= 0.9
+    recall = np.mean([len(set(best[i]) & set(got[i])) / 5 for i in range(800)])
+    assert recall == 1.0 if options.get("factor") == 1.0 else recall >= 0.9
+    if dim != 64:
+        return
+    df, few = frame(spark, x, BAD), F.expr("id % 20 = 0")
+    asked = neighbours.knn(df, 5, dim=dim, asked=few, **SMALL, **options)
+    assert {(r.id, r.rank, r.neighbour) for r in asked.collect()} == {(r.id, r.rank, r.neighbour) for r in rows if r.id % 20 == 0}
+    exact = neighbours.brute_force(df, df.filter(few), 5, dim=dim, block=16)
+    assert {(r["query"], r.neighbour) for r in exact.collect()} == {(i, int(j)) for i in range(0, 800, 20) for j in best[i]}
+    row = neighbours.recall(asked, exact).first()
+    assert row.queries == 40 and row.neighbours == 200 and abs(row.recall - np.mean([len(set(best[i]) & set(got[i])) / 5 for i in range(0, 800, 20)])) < 0.02
 
 
 def test_nearest_exact_with_copies(spark):
     x = np.concatenate([np.tile(vectors(1, seed=9), (8, 1)), vectors(40)])
-    rows = neighbours.knn(frame(spark, x), 4, factor=1.0, reach=2.0, dim=16).collect()
+    rows = neighbours.knn(frame(spark, x), 4, factor=1.0, kind=neighbours.FULL, dim=16).collect()
     for i in range(8):
         mine = sorted((r.rank, r.neighbour) for r in rows if r.id == i)
         assert [n for _, n in mine] == [j for j in range(8) if j != i][:4]
