@@ -23,7 +23,8 @@ from lodestone.common import blank_trim
 
 DIMENSIONS = 4096
 PER_LANGUAGE = 400  #: documents per language that prototypes are fitted on, at most
-LONGEST = 20000  #: documents with more characters aren't used for fitting
+PER_DOCUMENT = 64  #: sentences of each of them, spread over its whole text, at most
+UNKNOWN = "und"  #: letters of no known script
 ROUNDS = 2  #: times the fitted segments are assigned anew and prototypes rebuilt
 LETTERS = 128
 SHORT = 20  #: units with fewer n-grams lean on their neighbours
@@ -58,6 +59,8 @@ def _classes() -> np.ndarray:
 
 
 CLASSES = _classes()
+#: Letters of scripts that no language here is written in.
+FOREIGN = np.array([chr(i).isalpha() for i in range(0x10000)]) & (CLASSES == 0)
 
 
 def words_of(line: str) -> str:
@@ -67,6 +70,14 @@ def words_of(line: str) -> str:
     return " ".join(w for w in line.split() if not NAME.search(w)) if NAME.search(line) else line
 
 
+def foreign(parts: list[str]) -> np.ndarray:
+    """Whether more letters of a part are of unknown scripts than of known ones."""
+    codes = np.minimum(np.frombuffer("".join(parts).encode("utf-32-le", "replace"), np.uint32), 0xFFFF)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    unknown = np.bincount(owner, FOREIGN[codes], len(parts))
+    return unknown > np.bincount(owner, CLASSES[codes] > 0, len(parts))
+
+
 def trigrams(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the letter trigrams of all parts, and the part of each. Runs of other
     characters count as one blank, as do both ends of a part."""
@@ -186,7 +197,8 @@ def identify(texts: list[str | None], profiles: Profiles) -> list[list[tuple[int
     Every unit gets the language of the largest cosine, that is, of the largest sum of
     its n-grams' scores; consecutive units of one language form a segment. Its confidence
     is the lead of the best cosine over the second best, in parts of the best: 0 if
-    undecided, at most 1.
+    undecided, at most 1. Units in scripts that no language here is written in, and those
+    without any letters far and wide, are "und" with a confidence of 0.
     """
     owner, spans, parts = [], [], []
     for i, t in enumerate(texts):
@@ -199,7 +211,10 @@ def identify(texts: list[str | None], profiles: Profiles) -> list[list[tuple[int
         return found
     own = np.array(owner)
     sums, sizes = profiles.score(parts)
-    best = _smooth(sums, sizes, own).argmax(1)
+    strange = foreign(parts)
+    sums[strange] = 0
+    smooth = _smooth(sums, np.where(strange, SHORT, sizes), own)
+    best = np.where(strange | ~smooth.any(1), len(profiles.languages), smooth.argmax(1))
     cuts = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (best[1:] != best[:-1])]))
     ends = np.concatenate([cuts[1:], [len(own)]])
     totals = np.add.reduceat(sums, cuts, axis=0)
@@ -207,15 +222,22 @@ def identify(texts: list[str | None], profiles: Profiles) -> list[list[tuple[int
     second = ranked[:, -2] if ranked.shape[1] > 1 else np.zeros(len(ranked))
     lead = np.where(ranked[:, -1] > 0, (ranked[:, -1] - np.maximum(second, 0)) / np.maximum(ranked[:, -1], 1e-9), 0)
     chars = np.add.reduceat(np.array([s[2] for s in spans]), cuts)
+    names = [*profiles.languages, UNKNOWN]
     for k, (a, b) in enumerate(zip(cuts.tolist(), ends.tolist())):
-        found[owner[a]].append((spans[a][0], spans[b - 1][1], profiles.languages[best[a]], int(chars[k]), float(lead[k])))
+        found[owner[a]].append((spans[a][0], spans[b - 1][1], names[best[a]], int(chars[k]), float(lead[k]) if best[a] < len(profiles.languages) else 0.0))
     return found
 
 
-def fit(sample: list[tuple[str, str]], languages: list[str], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Profiles:
-    """Prototypes from (language, text). Some labels are wrong: after the first bundling
+def sentences(text: str | None, most: int = PER_DOCUMENT) -> list[str]:
+    """What prototypes are fitted on: sentences of the text, every n-th if there are more than ``most``."""
+    long_ones = [words for _, _, words in units(text) if len(words) >= LEAST] if text else []
+    return long_ones[:: max(1, -(-len(long_ones) // most))]
+
+
+def fit(sample: list[tuple[str, list[str]]], languages: list[str], dimensions: int = DIMENSIONS, rounds: int = ROUNDS) -> Profiles:
+    """Prototypes from (language, sentences). Some labels are wrong: after the first bundling
     every unit is assigned to its nearest prototype, and prototypes are built again."""
-    labelled = [(languages.index(lang), words) for lang, text in sample for _, _, words in units(text) if len(words) >= LEAST]
+    labelled = [(languages.index(lang), words) for lang, own in sample for words in own]
     parts = [words for _, words in labelled]
     grams, owner = trigrams(parts)
     assigned = np.array([k for k, _ in labelled], int)
@@ -242,15 +264,26 @@ def named_language(label: Column, names: DataFrame, df: DataFrame) -> DataFrame:
     return df.withColumn("_label", key).join(spelled, "_label", "left").drop("_label")
 
 
-def train(documents: DataFrame, names: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST, dimensions: int = DIMENSIONS) -> Profiles:
-    """Fit on at most ``per_language`` labelled Markdown documents a language, chosen by a hash."""
-    prose = documents.filter(F.lower("path").endswith(".md") & (F.octet_length("text") > 0) & (F.length("text") <= longest))
-    labelled = named_language(F.col("lang"), names, prose.select("doc_id", "lang", "text")).filter("labelled is not null")
-    order = Window.partitionBy("labelled").orderBy(F.xxhash64("doc_id"))
-    some = labelled.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language)
-    sample = sorted((r.doc_id, r.labelled, r.text) for r in some.select("doc_id", "labelled", "text").collect())
+def train(documents: DataFrame, names: DataFrame, per_language: int = PER_LANGUAGE, per_document: int = PER_DOCUMENT, dimensions: int = DIMENSIONS) -> Profiles:
+    """Fit on at most ``per_language`` labelled Markdown documents a language, chosen by a hash of
+    their id, and at most ``per_document`` sentences of each. Ids are chosen first, from narrow
+    rows and in each task before any is moved; only the chosen ones' texts are read, and
+    only their sentences come to the driver."""
+    prose = documents.filter(F.lower("path").endswith(".md") & (F.octet_length("text") > 0))
+    labelled = named_language(F.col("lang"), names, prose.select("doc_id", "lang")).filter("labelled is not null")
+    order = Window.partitionBy("labelled").orderBy(F.xxhash64("doc_id"), "doc_id")
+    some = labelled.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_language).select("doc_id", "labelled")
+    chosen = prose.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "labelled", "text")  # languages x per_language ids
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array([sentences(t, per_document) for t in b.column(2).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), found], ["doc_id", "labelled", "sentences"])
+
+    kind = chosen.schema["doc_id"].dataType.simpleString()
+    sample = sorted((r.doc_id, r.labelled, r.sentences) for r in chosen.mapInArrow(cut, f"doc_id {kind}, labelled string, sentences array<string>").collect())
     languages = sorted({lang for _, lang, _ in sample})
-    return fit([(lang, text) for _, lang, text in sample], languages or ["und"], dimensions)
+    return fit([(lang, own) for _, lang, own in sample], languages or [UNKNOWN], dimensions)
 
 
 def segments(documents: DataFrame, profiles: Profiles, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -293,6 +326,17 @@ def unlabelled(documents: DataFrame, names: DataFrame, profiles: Profiles, least
     """doc_id, lang: languages that a Markdown document is written in, to at least
     ``least_chars`` characters and ``least_share`` of its prose, but its label doesn't name."""
     prose = documents.filter(F.lower("path").endswith(".md"))
-    written = by_language(segments(prose, profiles)).filter((F.col("chars") >= least_chars) & (F.col("share") >= least_share))
+    written = by_language(segments(prose, profiles)).filter((F.col("lang") != UNKNOWN) & (F.col("chars") >= least_chars) & (F.col("share") >= least_share))
     labels = named_language(F.col("lang"), names, prose.select("doc_id", "lang")).select("doc_id", "labelled")
     return written.join(labels, "doc_id").filter(~F.col("lang").eqNullSafe(F.col("labelled"))).select("doc_id", "lang")
+
+
+def accuracy(documents: DataFrame, names: DataFrame, profiles: Profiles) -> DataFrame:
+    """labelled, documents, right, accuracy: Markdown documents whose label names a language of the
+    profiles, and how many are mainly written in it. Some labels are wrong, so this is what a
+    perfect classifier would have less those."""
+    prose = documents.filter(F.lower("path").endswith(".md") & (F.octet_length("text") > 0))
+    labels = named_language(F.col("lang"), names, prose.select("doc_id", "lang")).filter(F.col("labelled").isin(profiles.languages)).select("doc_id", "labelled")
+    main = by_language(segments(prose, profiles)).groupBy("doc_id").agg(F.max_by("lang", F.struct("chars", "lang")).alias("main"))
+    rows = labels.join(main, "doc_id").groupBy("labelled").agg(F.count("*").alias("documents"), F.count_if(F.col("main") == F.col("labelled")).alias("right"))
+    return rows.withColumn("accuracy", F.round(F.col("right") / F.col("documents"), 6))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import random
+from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,80 +12,65 @@ from pyspark.sql import functions as F
 from lodestone.common import blank_trim, cut, one_row
 from lodestone.llm.tokens import token_counts
 
-BLOCK = 4096  #: documents of one source that go through the flight phase together
+BLOCK = 4096  #: documents of one source that go through a flight together
+ROUNDS = 3  #: flights; the last has one block a source, of at most BLOCK documents for sources of up to 17 billion
+SPREAD = 512  #: undecided documents among which a step looks for its direction, at most
 
 
-def flight(probabilities: list[float], sizes: list[float], rng: random.Random) -> list[float]:
+def flight(probabilities: np.ndarray, sizes: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Move inclusion probabilities until at most two are neither 0 nor 1.
 
-    Three undecided units at a time: the null space of the two constraints (number and
-    size of the chosen) is then one direction, along which both totals stand still. A
-    step goes as far as one of the three reaches 0 or 1, to the side that a fair draw
-    picks, so that expected values don't change.
+    A step moves along the null space of the two constraints, the number and the size of
+    what is chosen, so both totals stand still. It goes as far as one unit reaches 0 or 1,
+    to the side that a fair draw picks, so that expected values don't change. The
+    direction is the one that moves the largest undecided unit most in proportion to all
+    others: its unit vector without its part outside the null space, over the largest and
+    the smallest undecided units. Large units are thus decided first, while there are
+    smaller ones to make up for them, and what is left are small ones.
     """
-    p, eps = list(probabilities), 1e-9
-    active: list[int] = []
-    for i in range(len(p)):
-        if eps < p[i] < 1 - eps:
-            active.append(i)
-        else:
-            p[i] = float(round(p[i]))
-        while len(active) == 3:
-            a, b, c = active
-            u = (sizes[c] - sizes[b], sizes[a] - sizes[c], sizes[b] - sizes[a])
-            if u == (0, 0, 0):
-                u = (1.0, -1.0, 0.0)
-            _move(p, active, u, rng)
-            active = [j for j in active if eps < p[j] < 1 - eps]
+    p, eps = np.array(probabilities, float), 1e-9
+    p[p < eps], p[p > 1 - eps] = 0, 1
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    open_ = open_[np.argsort(-sizes[open_], kind="stable")]
+    while len(open_) > 2:
+        half = SPREAD // 2
+        some = open_ if len(open_) <= SPREAD else np.concatenate([open_[:half], open_[-half:]])
+        s = sizes[some].astype(float)
+        s = s / max(np.abs(s).max(), 1e-9)
+        bounds = np.stack([np.ones(len(some)), s - s.mean()])
+        if (bounds[1] == 0).all():
+            bounds = bounds[:1]
+        for at in range(len(some)):  # the largest unit that can move at all
+            u = -(bounds.T @ (bounds[:, at] / (bounds**2).sum(1)))
+            u[at] += 1
+            if abs(u[at]) > 1e-9:
+                break
+        moves = np.abs(u) > 1e-12
+        units, u = some[moves], u[moves]
+        up = np.where(u > 0, (1 - p[units]) / np.abs(u), p[units] / np.abs(u)).min()
+        down = np.where(u > 0, p[units] / np.abs(u), (1 - p[units]) / np.abs(u)).min()
+        p[units] = np.clip(p[units] + (up if rng.random() * (up + down) < down else -down) * u, 0, 1)
+        p[p < eps], p[p > 1 - eps] = 0, 1
+        open_ = open_[(p[open_] > 0) & (p[open_] < 1)]
     return p
 
 
-def _move(p: list[float], units: list[int], u: tuple[float, ...], rng: random.Random) -> None:
-    up = min((1 - p[i]) / d if d > 0 else p[i] / -d for i, d in zip(units, u) if d)
-    down = min(p[i] / d if d > 0 else (1 - p[i]) / -d for i, d in zip(units, u) if d)
-    step = up if rng.random() * (up + down) < down else -down
-    for i, d in zip(units, u):
-        p[i] = min(1.0, max(0.0, p[i] + step * d))
-        if p[i] < 1e-9 or p[i] > 1 - 1e-9:
-            p[i] = float(round(p[i]))
-
-
-def land(probabilities: list[float], rng: random.Random) -> list[float]:
-    """Decide the last undecided units, keeping their number where it is whole."""
-    p = list(probabilities)
-    while len(open_ := [i for i, x in enumerate(p) if 0 < x < 1]) > 1:
-        _move(p, open_[:2], (1.0, -1.0), rng)
-    for i in open_:
-        p[i] = float(rng.random() < p[i])
+def land(probabilities: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Decide the last two undecided units: of all draws that keep both probabilities the one in
+    which their number, and with it their size, varies least."""
+    p = np.array(probabilities, float)
+    open_ = np.flatnonzero((p > 0) & (p < 1))
+    if len(open_) == 2:
+        a, b = open_
+        both, draw = max(0.0, p[a] + p[b] - 1), rng.random()
+        pa_, pb = p[a], p[b]
+        p[a] = float(draw < pa_)
+        p[b] = float(draw < both or pa_ <= draw < pa_ + pb - both)
+    elif len(open_) == 1:
+        p[open_] = float(rng.random() < p[open_[0]])
     return p
 
 
-def _settle(p: list[float], sizes: list[float], seed: str, final: bool) -> list[float]:
-    """Flights over units in falling size, stratum by stratum, each twice the one before.
-
-    A large unit among small ones hardly moves and would be left over at the end, where
-    deciding it moves the total. So each stratum but the last lands at once, and what
-    that adds to the total or takes from it is spread over the next stratum's
-    probabilities. Only units among the smallest are left undecided.
-    """
-    rng = random.Random(seed)
-    out: list[float] = []
-    excess, width = 0.0, 32
-    while len(out) < len(p):
-        start, end = len(out), len(out) + width
-        end = end if len(p) - end > width else len(p)
-        own, t = p[start:end], sizes[start:end]
-        shift = excess / sum(t)
-        own = [min(1.0, max(0.0, x - shift)) if 0 < x < 1 else x for x in own]
-        moved = flight(own, t, rng)
-        if final or end < len(p):
-            moved = land(moved, rng)
-        excess += sum((m - x) * s for m, x, s in zip(moved, p[start:end], t))
-        out += moved
-        width *= 2
-    return out
-
-
 class Mix:
     """A mixture of ``documents`` by ``targets`` (source, target_share, max_repeats).
 
@@ -99,7 +85,9 @@ class Mix:
     keep theirs of T and make up more of what is chosen.
 
     Documents of a source are cut into blocks of about 4,096 by a hash; each block ends
-    with at most two undecided documents, which go through a second flight per source.
+    with at most two undecided documents. These go through further flights, again in blocks,
+    until one block a source is left, whose last two land: one landing a source, of two
+    small documents. No probability is changed but by flights and that landing.
     """
 
     def __init__(self, documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 1, **tokenizer: str):
@@ -121,30 +109,42 @@ class Mix:
         plan = F.broadcast(self.plan.select("source", "documents", "rate"))
         rows = self.sizes.join(plan, "source").withColumn("base", F.floor("rate").cast("int"))
         rows = rows.withColumn("p", F.col("rate") - F.col("base"))
-        blocks = F.greatest(F.round(F.col("documents") / BLOCK), F.lit(1)).cast("long")
-        rows = rows.select(key, "source", "tokens", "base", "p", F.pmod(F.xxhash64(key, F.lit(seed)), blocks).alias("block"))
-        fields = rows.schema
-
-        def settle(final: bool):
-            def work(keys: tuple, t: pa.Table) -> pa.Table:
-                t = t.sort_by([("tokens", "descending"), (key, "ascending")])  # so that the last undecided are small
-                name = "/".join([str(seed), *[str(k.as_py()) for k in keys]])
-                p = _settle(t.column("p").to_pylist(), [float(x) for x in t.column("tokens").to_pylist()], name, final)
-                return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
-
-            return work
-
-        flown = cut(rows.groupBy("source", "block").applyInArrow(settle(False), fields))
-        undecided = flown.filter("p > 0 and p < 1").groupBy("source").applyInArrow(settle(True), fields)
-        decided = flown.filter("p = 0 or p = 1").unionByName(undecided)
+        undecided = rows.select(key, "source", "tokens", "documents", "base", "p")
+        fields = undecided.schema
+        decided = None
+        for n in range(ROUNDS):
+            # a block leaves at most two of its documents to the next round; the last has one block
+            left = F.col("documents") * (2.0 / BLOCK) ** n
+            blocks = F.greatest(F.ceil(left / BLOCK), F.lit(1)).cast("long") if n < ROUNDS - 1 else F.lit(1).cast("long")
+
+            flown = cut(undecided.withColumn("block", F.pmod(F.xxhash64(key, F.lit(seed + n)), blocks)).groupBy("source", "block").applyInArrow(self._flight(n), fields))
+            done = flown.filter("p = 0 or p = 1")
+            decided = done if decided is None else decided.unionByName(done)
+            undecided = flown.filter("p > 0 and p < 1")
         return decided.select(key, "source", "tokens", (F.col("base") + F.col("p").cast("int")).alias("copies")).filter("copies > 0")
 
+    def _flight(self, n: int) -> Callable[[tuple, pa.Table], pa.Table]:
+        """The n-th flight of a block, the last one with its landing."""
+        key, seed = self.key, self.seed
+
+        def work(keys: tuple, t: pa.Table) -> pa.Table:
+            t = t.sort_by([("tokens", "descending"), (key, "ascending")])
+            rng = np.random.default_rng([seed, n, *"/".join(str(k.as_py()) for k in keys).encode()])
+            p = flight(t.column("p").to_numpy(), t.column("tokens").to_numpy(), rng)
+            p = land(p, rng) if n == ROUNDS - 1 else p
+            return t.drop_columns("block").set_column(t.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
+
+        return work
+
     def report(self) -> DataFrame:
-        """source, target_share, documents, own_tokens, wanted_tokens, capped, chosen_documents, max_copies, chosen_tokens, actual_share, share_of_budget."""
+        """source, target_share, documents, own_tokens, wanted_tokens, capped, chosen_documents, max_copies,
+        chosen_tokens, actual_share, share_of_budget, deviation: chosen tokens over what the rates
+        promise, in parts of the wanted ones."""
         mine = self.chosen().groupBy("source").agg(F.count("*").alias("chosen_documents"), F.max("copies").alias("max_copies"), F.sum(F.col("tokens") * F.col("copies")).alias("chosen_tokens"))
         rows = self.plan.join(mine, "source", "left").na.fill(0, ["chosen_documents", "max_copies", "chosen_tokens"])
         total = mine.agg(F.sum("chosen_tokens").alias("total"))
         share = F.coalesce(F.col("chosen_tokens") / F.col("total"), F.lit(0.0))
         of_budget = F.coalesce(F.col("chosen_tokens") / F.nullif("all_tokens", F.lit(0)), F.lit(0.0))
+        off = F.coalesce((F.col("chosen_tokens") - F.col("rate") * F.col("own_tokens")) / F.nullif("wanted_tokens", F.lit(0.0)), F.lit(0.0))
         rows = rows.withColumn("total", one_row(total)["total"])
-        return rows.select("source", "target_share", "max_repeats", "documents", "own_tokens", "wanted_tokens", "capped", "chosen_documents", "max_copies", "chosen_tokens", F.round(share, 6).alias("actual_share"), F.round(of_budget, 6).alias("share_of_budget"))
+        return rows.select("source", "target_share", "max_repeats", "documents", "own_tokens", "wanted_tokens", "capped", "chosen_documents", "max_copies", "chosen_tokens", F.round(share, 6).alias("actual_share"), F.round(of_budget, 6).alias("share_of_budget"), F.round(off, 6).alias("deviation"))

@@ -13,6 +13,7 @@ from lodestone.llm.tokens import token_counts
 
 GROUP = 4096  #: items that are packed together
 PER_SEGMENT = 16  #: a window has room for one segment per so many tokens of capacity
+LEAST_SEGMENTS = 8  #: but for at least so many
 
 
 def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
@@ -30,6 +31,8 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     names, window = order.copy(), np.full(len(sizes), -1)
     current, room = 0, np.ones(sizes.shape[1])
     fresh, eps = True, 1e-9
+    whole = int(np.searchsorted(-left[:, 0], -(1 - eps), "right"))  # these fill a window each
+    window[names[:whole]], current, left, names = np.arange(whole), whole, left[whole:], names[whole:]
     while len(left):
         # items are in descending token size: all that can fit lie behind the first that does
         first = int(np.searchsorted(-left[:, 0], -(room[0] + eps)))
@@ -49,17 +52,23 @@ def fill(sizes: np.ndarray, limits: np.ndarray) -> np.ndarray:
     return window
 
 
-def pack(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", loss_part: float = 1.0, group: int = GROUP, **tokenizer: str) -> DataFrame:
+def limits_of(capacity: int, loss_part: float, per_segment: int, least_segments: int) -> list[float]:
+    """A window's limits: tokens, segments, loss-bearing tokens."""
+    return [capacity, max(least_segments, capacity // per_segment), max(1.0, capacity * loss_part)]
+
+
+def pack(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str = "text", loss_part: float = 1.0, per_segment: int = PER_SEGMENT, least_segments: int = LEAST_SEGMENTS, group: int = GROUP, **tokenizer: str) -> DataFrame:
     """A row per placed piece: pack_id, window, key, piece, pieces, start_token, tokens, loss_tokens.
 
     ``limits`` has pack_id and capacity_tokens (a small table that doesn't grow). Windows
-    hold at most capacity_tokens tokens, one segment per 16 tokens of capacity (at least
-    eight), and ``loss_part`` of the capacity in loss-bearing tokens, all tokens but those
-    of a document's first line. A document larger than the capacity is cut into full
-    windows and a rest, which is packed like any document; no other document is split.
-    Null and empty texts are not placed. Documents given twice are placed twice.
-
-    Items are spread over groups of about 4,096 by a hash and packed group by group, each
+    hold at most capacity_tokens tokens, one segment per ``per_segment`` tokens of capacity
+    (at least ``least_segments``), and ``loss_part`` of the capacity in loss-bearing tokens,
+    all tokens but those of a document's first line. A document larger than the capacity is
+    cut into pieces of the capacity and a rest; no other document is split. A piece that
+    exceeds another limit by itself gets a window of its own. Null and empty texts are not
+    placed. Documents given twice are placed twice.
+
+    Pieces are spread over groups of about 4,096 by a hash and packed group by group, each
     wasting at most its last window, so the space left doesn't grow with the input.
     """
     sizes = cut(token_counts(documents.filter(F.octet_length(text) > 0), [key], text, head=True, **tokenizer))
@@ -67,36 +76,36 @@ def pack(documents: DataFrame, limits: DataFrame, key: str = "doc_id", text: str
     asked = one_row(limits.agg(F.collect_list(F.struct("pack_id", "capacity_tokens")).alias("all")))["all"]  # a few capacities
     rows = sizes.filter("tokens > 0").withColumn("_asked", asked).select(key, "tokens", "head_tokens", F.inline("_asked"))
     n = F.ceil(F.col("tokens") / capacity).cast("int")
-    rows = rows.select("pack_id", "capacity_tokens", key, "tokens", "head_tokens", n.alias("pieces"), F.posexplode(F.sequence(F.lit(1), n)).alias("piece", "_")).drop("_")
+    counts = rows.groupBy("pack_id").agg(F.greatest(F.round(F.sum(n) / group), F.lit(1)).cast("int").alias("groups"))  # a row a capacity
+    rows = rows.join(F.broadcast(counts), "pack_id")
+    rows = rows.select("pack_id", "groups", "capacity_tokens", key, "tokens", "head_tokens", n.alias("pieces"), F.posexplode(F.sequence(F.lit(1), n)).alias("piece", "_")).drop("_")
     start = F.col("piece") * capacity
     rows = rows.select("*", start.alias("start_token"), F.least(capacity, F.col("tokens") - start).alias("size")).withColumn("loss", F.greatest(F.col("size") - F.greatest(F.col("head_tokens") - F.col("start_token"), F.lit(0)), F.lit(0)))
-    groups = max(1, round(sizes.count() / group))
-    whole = (F.col("piece") + 1 < F.col("pieces")) | (F.col("size") == capacity)
-    out = ["pack_id", "window", key, "piece", "pieces", "start_token", F.col("size").alias("tokens"), F.col("loss").alias("loss_tokens")]
-    full = rows.filter(whole).select("pack_id", F.concat_ws("-", F.lit("full"), F.col(key).cast("string"), F.col("piece")).alias("window"), *out[2:])
-    rest = rows.filter(~whole).withColumn("grp", F.pmod(F.xxhash64(key, "piece"), F.lit(groups)).cast("int"))
-    kept = rest.select("pack_id", "grp", "capacity_tokens", key, "piece", "pieces", "start_token", "size", "loss")
+    kept = rows.select("pack_id", F.pmod(F.xxhash64(key, "piece"), F.col("groups")).cast("int").alias("grp"), "capacity_tokens", key, "piece", "pieces", "start_token", "size", "loss")
     types = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
 
     def place(keys: tuple, t: pa.Table) -> pa.Table:
-        limit = t.column("capacity_tokens")[0].as_py()
         t = t.sort_by([(key, "ascending"), ("piece", "ascending")])
         size, loss = t.column("size").to_numpy(), t.column("loss").to_numpy()
-        window = fill(np.stack([size, np.ones(len(size)), loss], 1).astype(float), np.array([limit, max(8, limit // PER_SEGMENT), max(1, limit * loss_part)]))
+        most = limits_of(t.column("capacity_tokens")[0].as_py(), loss_part, per_segment, least_segments)
+        window = fill(np.stack([size, np.ones(len(size)), loss], 1).astype(float), np.array(most, float))
         names = pa.array([f"{keys[1].as_py()}-{w}" for w in window])
         return pa.table([t.column("pack_id"), names, *[t.column(c) for c in (key, "piece", "pieces", "start_token", "size", "loss")]], names=["pack_id", "window", key, "piece", "pieces", "start_token", "tokens", "loss_tokens"])
 
     schema = f"pack_id string, window string, `{key}` {types[key]}, piece int, pieces int, start_token long, tokens long, loss_tokens long"
-    packed = rest.select(*kept.columns).groupBy("pack_id", "grp").applyInArrow(place, schema)
-    return packed.unionByName(full.select("pack_id", "window", key, "piece", "pieces", "start_token", "tokens", "loss_tokens"))
+    return kept.groupBy("pack_id", "grp").applyInArrow(place, schema)
 
 
-def binding(packed: DataFrame, limits: DataFrame, loss_part: float) -> DataFrame:
-    """pack_id, windows, by_tokens, by_segments, by_loss: windows that use 99 % of a limit or more."""
+def binding(packed: DataFrame, limits: DataFrame, loss_part: float, per_segment: int = PER_SEGMENT, least_segments: int = LEAST_SEGMENTS) -> DataFrame:
+    """pack_id, windows, by_tokens, by_segments, by_loss: windows that use 99 % of a limit or more,
+    and over: windows of several pieces that exceed one, of which there are none."""
     capacity = F.col("capacity_tokens")
     windows = packed.groupBy("pack_id", "window").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss_tokens").alias("loss")).join(limits.select("pack_id", "capacity_tokens"), "pack_id")
-    most = {"tokens": capacity, "segments": F.greatest(F.lit(8), F.floor(capacity / PER_SEGMENT)), "loss": F.greatest(F.lit(1.0), capacity * loss_part)}
-    return windows.groupBy("pack_id").agg(F.count("*").alias("windows"), *[F.count_if(F.col(c) >= 0.99 * limit).alias(f"by_{c}") for c, limit in most.items()])
+    most = {"tokens": capacity, "segments": F.greatest(F.lit(least_segments), F.floor(capacity / per_segment)), "loss": F.greatest(F.lit(1.0), capacity * loss_part)}
+    over = F.lit(False)
+    for c, limit in most.items():
+        over = over | (F.col(c) > limit + 1e-6)
+    return windows.groupBy("pack_id").agg(F.count("*").alias("windows"), *[F.count_if(F.col(c) >= 0.99 * limit).alias(f"by_{c}") for c, limit in most.items()], F.count_if(over & (F.col("segments") > 1)).alias("over"))
 
 
 def usage(packed: DataFrame, limits: DataFrame) -> DataFrame:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from lodestone.common import distinct_rows, load
 from lodestone.llm import distinctive, language, mixing, neighbours, packing, sketch, split
 
-LOSS_PART = 0.9  #: of a window, for loss-bearing tokens
 TEN = "^[a-z]{6,}$"
 
 
@@ -100,20 +99,23 @@ def p5_chunk_pieces(spark: SparkSession, d: str) -> DataFrame:
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     limits = load(spark, d, "pack_limits").filter("pack_id = 'window_2k'")
     packed = packing.pack(load(spark, d, "documents"), limits)
-    return packed.filter("pieces > 1 and piece = 0").select("doc_id")
+    return packed.filter("pieces > 1 and piece = 0").select("doc_id")  # a first piece that was placed, of several
 
 
 def p8_windows(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(load(spark, d, "documents"), load(spark, d, "pack_limits"))
 
 
-def p8_loss_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Windows with room for LOSS_PART of their tokens in loss-bearing ones, so that this limit binds."""
-    return packing.pack(load(spark, d, "documents"), load(spark, d, "pack_limits"), loss_part=LOSS_PART)
+TIGHT = {"loss_part": 0.9, "per_segment": 2048, "least_segments": 4}  #: limits under which each binds in some windows
 
 
-def p8_loss_binding(spark: SparkSession, d: str) -> DataFrame:
-    return packing.binding(p8_loss_windows(spark, d), load(spark, d, "pack_limits"), LOSS_PART)
+def p8_tight_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows under limits that bind: nine tenths of the tokens may bear loss, four segments a window."""
+    return packing.pack(load(spark, d, "documents"), load(spark, d, "pack_limits"), **TIGHT)
+
+
+def p8_tight_binding(spark: SparkSession, d: str) -> DataFrame:
+    return packing.binding(p8_tight_windows(spark, d), load(spark, d, "pack_limits"), **TIGHT)
 
 
 def p8_usage(spark: SparkSession, d: str) -> DataFrame:
@@ -126,7 +128,8 @@ def _mix(spark: SparkSession, d: str) -> mixing.Mix:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mix(spark, d).report().filter("capped").select("source")
+    """Sources of which the mixture takes everything as often as it may, and yet too little."""
+    return _mix(spark, d).report().filter("capped and chosen_tokens = max_repeats * own_tokens").select("source")
 
 
 def p9_report(spark: SparkSession, d: str) -> DataFrame:
@@ -156,6 +159,13 @@ def p10_documents(spark: SparkSession, d: str) -> DataFrame:
     return language.by_language(language.segments(documents, profiles))
 
 
+def p10_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Right labels among documents that no prototype was fitted on: a fifth, held out by a hash."""
+    documents, names = load(spark, d, "documents"), load(spark, d, "lang_names")
+    held = F.pmod(F.xxhash64(F.lit("held out"), F.col("doc_id")), F.lit(5)) == 0
+    return language.accuracy(documents.filter(held), names, language.train(documents.filter(~held), names))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1].isdigit()}
 
@@ -176,8 +186,15 @@ _BUCKETS = f"""
 buckets AS (SELECT command_name, day, CASE WHEN ms = 0 THEN 0 ELSE CAST(ceil(ln(ms::DOUBLE) / ln(1.01 / 0.99)) AS INT) + {sketch.offset()} END AS bucket FROM times)"""
 
 
+_UNIT = """
+usable AS (SELECT id, embedding::DOUBLE[] AS e FROM chunks WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x))) AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+unit AS (SELECT id, CAST(list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) AS DOUBLE[64]) AS v FROM usable)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": f"""WITH {_UNIT}
+            SELECT a.id AS chunk_id_a, b.id AS chunk_id_b FROM unit a JOIN unit b ON a.id < b.id WHERE array_inner_product(a.v, b.v) >= 0.95""",
         "p2_found": f"""WITH {_POSTINGS}
             SELECT record_type, record_id, term FROM postings JOIN terms USING (record_type, term)
             WHERE df <= 5 AND tf >= CASE record_type WHEN 'chunk' THEN 3 ELSE 1 END AND regexp_full_match(term, '[a-z]{{6,}}')""",
@@ -189,6 +206,20 @@ def oracle_sql() -> dict[str, str]:
             FROM postings JOIN terms USING (record_type, term) JOIN sizes USING (record_type, record_id) JOIN sums USING (record_type)""",
         "p3_found": f"""WITH {_TIMES}
             SELECT command_name FROM times GROUP BY 1 HAVING quantile_disc(ms, 0.95) >= 20 * quantile_disc(ms, 0.5)""",
+        "p3_percentiles": f"""WITH {_TIMES}, p(percent) AS (VALUES (50.0), (90.0), (95.0), (99.0)),
+            sorted AS (SELECT command_name, count(*) AS total, list(ms ORDER BY ms) AS l FROM times GROUP BY 1),
+            exact AS (SELECT command_name, percent, total, l[greatest(CAST(ceil(percent * total / 100 - 1e-9) AS BIGINT), 1)] AS v FROM sorted, p)
+            SELECT command_name, CAST(percent AS DOUBLE) AS percent, total, round(CASE WHEN v = 0 THEN 0.0 ELSE exp(ceil(ln(v::DOUBLE) / ln(1.01 / 0.99)) * ln(1.01 / 0.99)) * 2 / (1.01 / 0.99 + 1) END, 3) AS value FROM exact""",
+        "p5_found": r"""WITH c AS (SELECT id, doc_id, start_offset AS start, encode(rtrim(content, ' ' || chr(9) || chr(10) || chr(13))) AS own FROM chunks WHERE content IS NOT NULL),
+            s AS (SELECT id, doc_id, start, own, octet_length(own) AS size, greatest(coalesce(max(start + octet_length(own)) OVER (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS reached FROM c WHERE doc_id IS NOT NULL AND start IS NOT NULL),
+            j AS (SELECT s.*, encode(text) AS whole FROM s LEFT JOIN documents USING (doc_id))
+            SELECT id AS chunk_id, 'oversized' AS defect FROM c WHERE octet_length(own) > 1000
+            UNION ALL SELECT id, 'misplaced' FROM c WHERE doc_id IS NULL OR start IS NULL
+            UNION ALL SELECT id, 'misplaced' FROM j WHERE whole IS NULL OR start < 0 OR octet_length(whole) < start + size OR (size > 0 AND whole[start + 1:start + size] <> own)
+            UNION ALL SELECT id, 'gap' FROM j WHERE start > reached AND NOT regexp_full_match(hex(whole[reached + 1:start]), '(20|09|0A|0D)*')""",
+        "p8_found": "SELECT doc_id FROM documents WHERE strlen(text) / 4.0 > 2048",
+        "p9_found": """WITH own AS (SELECT lower(trim(source)) AS source, sum(strlen(text)) AS n FROM documents WHERE text <> '' AND lower(trim(source)) IN (SELECT source FROM mix_targets) GROUP BY 1)
+            SELECT source FROM mix_targets LEFT JOIN own USING (source) WHERE target_share * (SELECT sum(n) FROM own) > max_repeats * coalesce(n, 0)""",
         "p3_daily_sketch": f"""WITH {_TIMES}, {_BUCKETS}
             SELECT command_name, day, bucket, count(*) AS n FROM buckets GROUP BY ALL""",
     }

@@ -242,12 +242,24 @@ def test_pack(spark):
             assert sum(t for _, t in parts) == n and (len(parts) == 1) == (n <= capacity)
     assert packing.pack(docs.limit(0), limits).count() == 0
     assert packing.usage(packing.pack(docs, limits), limits).count() == 2
+    tight = {"loss_part": 0.8, "per_segment": 256, "least_segments": 2}
+    rows = packing.pack(docs, limits, **tight).collect()
+    windows = {}
+    for r in rows:
+        windows.setdefault((r.pack_id, r.window), []).append(r)
+    for (pack_id, _), own in windows.items():
+        most = packing.limits_of({"small": 100, "large": 512}[pack_id], **tight)
+        assert len(own) == 1 or all(x <= y for x, y in zip((sum(r.tokens for r in own), len(own), sum(r.loss_tokens for r in own)), most))
+    assert all(r.over == 0 for r in packing.binding(packing.pack(docs, limits, **tight), limits, **tight).collect())
 
 
 @needs_vocabulary
 def test_token_count_of_long_text():
-    whole = tokens.encoder().encode_ordinary("some words here " * 9000)
-    assert abs(tokens.count("some words here " * 9000) - len(whole)) <= 4
+    encode = tokens.encoder().encode_ordinary
+    draw = random.Random(4)
+    mixed = "".join(draw.choice(["word", " ", "  ", "\n", "\n\n", "\t", "'s", "12", "é", "。", "x" * 30, " a", ". "]) for _ in range(60_000))
+    for text in ("some words here " * 9000, mixed, " " * 200_000, "a\n" * 80_000, mixed.replace(" ", "").replace("\n", "") + " end"):
+        assert len(text) > tokens.BLOCK and tokens.count(text) == len(encode(text))
     assert tokens.count(None) == tokens.count("") == 0 and tokens.count("q" * 300_000) > 0
 
 
@@ -255,20 +267,22 @@ def test_token_count_of_long_text():
 
 
 def test_flight_keeps_totals():
-    rng = random.Random(1)
-    for sizes in ([rng.lognormvariate(5, 1) for _ in range(500)], [7.0] * 500):
-        p = mixing.flight([0.3] * 500, sizes, rng)
-        assert sum(0 < x < 1 for x in p) <= 2
-        assert abs(sum(p) - 150) < 1e-6 and abs(sum(a * b for a, b in zip(p, sizes)) - 0.3 * sum(sizes)) < 1e-4 * sum(sizes)
-        assert all(x in (0.0, 1.0) for x in mixing.land(p, rng))
-    assert mixing.flight([], [], rng) == []
+    rng = np.random.default_rng(1)
+    for sizes in (rng.lognormal(5, 1, 500), np.full(500, 7.0)):
+        p = mixing.flight(np.full(500, 0.3), sizes, rng)
+        left = (p > 0) & (p < 1)
+        assert left.sum() <= 2 and (sizes[left] <= np.median(sizes)).all()  # what is left to land is small
+        assert abs(p.sum() - 150) < 1e-6 and abs(p @ sizes - 0.3 * sizes.sum()) < 1e-4 * sizes.sum()
+        assert set(mixing.land(p, rng)) <= {0.0, 1.0}
+    assert len(mixing.flight(np.zeros(0), np.zeros(0), rng)) == 0
+    assert list(mixing.flight(np.array([0.0, 1.0, 0.5]), np.ones(3), rng)) == [0.0, 1.0, 0.5]
 
 
 def test_flight_is_fair():
     hits = np.zeros(12)
     for seed in range(1500):
-        rng = random.Random(seed)
-        hits += mixing.land(mixing.flight([0.25] * 12, [float(i + 1) for i in range(12)], rng), rng)
+        rng = np.random.default_rng(seed)
+        hits += mixing.land(mixing.flight(np.full(12, 0.25), np.arange(1.0, 13), rng), rng)
     assert np.abs(hits / 1500 - 0.25).max() < 0.05
 
 
@@ -303,7 +317,7 @@ SAY = {
 @pytest.fixture(scope="module")
 def profiles():
     sample = [(lang, "\n".join(words.split(" ")[i] + " " + words for i in range(len(words.split(" "))))) for lang, words in SAY.items()]
-    return language.fit(sample + [("en", SAY["de"])], sorted(SAY), 1024)
+    return language.fit([(lang, language.sentences(text)) for lang, text in [*sample, ("en", SAY["de"])]], sorted(SAY), 1024)
 
 
 def test_segments(profiles):
@@ -314,6 +328,19 @@ def test_segments(profiles):
     assert all(0 <= s[4] <= 1 and text[s[0] : s[1]].strip() for s in found[2]) and len(found[4]) == 1
 
 
+def test_unknown_scripts(profiles):
+    arabic, greek, korean = "يقارن الملخص خريطة الملفات قبل التشغيل التالي", "Ο χάρτης συγκρίνει τα αρχεία πριν από την εκτέλεση", "색인은 설정된 상한을 읽고 새 표로 합칩니다"
+    found = language.identify([arabic, greek, korean, f"{SAY['en']}\n{greek}\n{SAY['en']}", "1234", f"{greek}\n42\n"], profiles)
+    assert [[s[2] for s in own] for own in found] == [["und"], ["und"], ["und"], ["en", "und", "en"], ["und"], ["und"]]
+    assert found[0][0][4] == 0.0
+
+
+def test_sentences_cover_the_whole_text():
+    text = "\n".join(f"line number {i} of the text" for i in range(1000))
+    some = language.sentences(text, 50)
+    assert len(some) == 50 and "980" in some[-1] and language.sentences(None) == []
+
+
 def test_scores_are_cosines_up_to_length(profiles):
     text = SAY["de"].lower()
     grams, _ = language.trigrams([text])
