@@ -171,9 +171,11 @@ def _python_lines(code: str) -> Found:
 
 
 _WORD = r"[A-Za-z_$][\w$]*"
+#: Brackets with up to two levels of brackets in them, else what is between the first two.
+_ARGS = r"(?:\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)|\([^)]*\))"
 #: Per language: (pattern over a line, kind, signature). Groups are inserted by number; trailing braces are cut.
 _RULES: dict[str, list[tuple[re.Pattern, str, str]]] = {
-    lang: [(re.compile(p), kind, sig) for p, kind, sig in rules]
+    lang: [(re.compile(p.replace(r"\([^)]*\)", _ARGS)), kind, sig) for p, kind, sig in rules]
     for lang, rules in {
         "typescript": [
             (rf"^\s*(?:export\s+)?(?:declare\s+)?interface\s+({_WORD})", "interface", "interface {1}"),
@@ -216,7 +218,7 @@ _RULES: dict[str, list[tuple[re.Pattern, str, str]]] = {
             (r"^\s*(?:(?:public|private|protected|static|abstract|final|sealed)\s+)*class\s+(\w+)", "class", "class {1}"),
             (r"^\s*(?:(?:public|private|protected|static)\s+)*interface\s+(\w+)", "interface", "interface {1}"),
             (r"^\s*(?:(?:public|private|protected|static)\s+)*enum\s+(\w+)", "enum", "enum {1}"),
-            (r"^\s+((?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*)(?!(?:return|new|throw|else|if|for|while|switch)\b)([\w<>\[\],.? ]+?)\s+(\w+)(\([^)]*\))\s*(?:throws [\w, .]+)?[{;]", "method", "{1}{2} {3}{4}"),
+            (r"^\s+((?:(?:public|private|protected|static|final|abstract|synchronized)\s+)*)(?!\s*(?:return|new|throw|else|if|for|while|switch)\b)([\w<>\[\]][\w<>\[\],.? ]*?)\s+(\w+)(\([^)]*\))\s*(?:throws [\w, .]+)?[{;]", "method", "{1}{2} {3}{4}"),
             (r"^\s+(?:public|private|protected)\s+([A-Z]\w*)(\([^)]*\))\s*(?:throws [\w, .]+)?\{", "method", "{1}{2}"),
         ],
         "go": [
@@ -328,16 +330,47 @@ def _long_line(line: str, lang: str, number: int, sigs: list, refs: list, defs:
         refs.extend(found)
 
 
+#: A line that may begin a declaration or an import whose bracket closes on a later one.
+_HEAD = re.compile(r"\s*(?:(?:pub(?:\([^)]*\))?|export|default|async|static|public|private|protected|abstract|final|override|synchronized|get|set|unsafe|const)\s+)*(?:(?:function|func|fn|def|import|from|use)\b|[\w$<>\[\],.?]+(?:\s+[\w$]+)?\s*(?:<[^>]*>)?\()")
+_OPENS = re.compile(r"[({]")
+_CLOSES = re.compile(r"[)}]")
+
+
+def _joined(lines: list[str], at: int) -> str:
+    """The line, or the declaration or import that begins in it, in one line: up to the line that
+    closes its round bracket or, of an import, its brace. What is never closed ends before the
+    next line that begins another one, so each line is joined at most once."""
+    line = lines[at]
+    imports = line.lstrip().startswith("import")
+    depth = lambda s: len((_OPENS if imports else _ROUND_OPENS).findall(s)) - len((_CLOSES if imports else _ROUND_CLOSES).findall(s))
+    open_ = depth(line)
+    if open_ <= 0 or not _HEAD.match(line):
+        return line
+    parts = [line.rstrip()]
+    for more in lines[at + 1 :]:
+        if len(more) > LONG or _DECLARES.match(more):
+            return line
+        parts.append(more.strip())
+        open_ += depth(more)
+        if open_ <= 0:
+            return " ".join(parts)
+    return line
+
+
+_ROUND_OPENS, _ROUND_CLOSES = re.compile(r"\("), re.compile(r"\)")
+_DECLARES = re.compile(r"\s*(?:(?:pub|export|default|async|static|public|private|protected|abstract)\s+)*(?:function|func|fn|def|class|struct|interface|enum|trait|impl|import|use|module)\b")
+
+
 def _by_lines(code: str, lang: str) -> Found:
     sigs, refs, defs, calls, imports = [], [], [], [], []
-    for number, line in enumerate(code.split("\n"), 1):
-        line = line.rstrip("\r")
+    lines = [line.rstrip("\r") for line in code.split("\n")]
+    for number, line in enumerate(lines, 1):
         if len(line) > LONG:
             _long_line(line, lang, number, sigs, refs, defs, calls, imports)
             continue
-        name = None
+        name, whole = None, _joined(lines, number - 1) if lang != "ruby" else line
         for pattern, kind, shape in _RULES.get(lang, ()):
-            m = pattern.match(line)
+            m = pattern.match(whole)
             if m:
                 sig, _, name = _define(m, lang, kind, shape)
                 sigs.append(sig)
@@ -346,9 +379,9 @@ def _by_lines(code: str, lang: str) -> Found:
                 else:
                     name = None
                 break
-        if (p := _IMPORT.get(lang)) and (m := p.search(line)):
+        if (p := _IMPORT.get(lang)) and (m := p.search(whole)):
             imports.append((m[1].strip(), number))
-        if (p := _REF.get(lang)) and (m := p.search(line)):
+        if (p := _REF.get(lang)) and (m := p.search(whole)):
             refs.extend(w for g in m.groups() if g for w in re.findall(r"[\w$:]+", g) if w not in ("as", "type"))
         found = [c for c in _CALL.findall(line) if c not in _NOT_CALLED and c != name]
         calls.extend((c, number) for c in found)

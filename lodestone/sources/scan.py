@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,28 +106,91 @@ def included(path: Column, include: list[str], exclude: list[str]) -> Column:
     return (hit(include) if include else F.lit(True)) & ~hit(exclude)
 
 
+def hidden_files(root: str, max_depth: int = 15) -> list[str]:
+    """Relative paths below ``root`` with a part that begins with a dot or an underscore, which
+    Spark's readers pass over. Skipped folders are not entered; the names alone are listed."""
+    files, base = fs.FileSystem.from_uri(root)
+    out, todo = [], [("", 1, False)]
+    while todo:
+        folder, level, below = todo.pop()
+        for info in files.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"), allow_not_found=True)):
+            name, hidden = info.base_name, below or info.base_name[:1] in "._"
+            if name in SKIP or level == 1 and re.match(r"^.+-\d+\.\d+", name):
+                continue
+            if info.type == fs.FileType.Directory:
+                if level < max_depth:
+                    todo.append((f"{folder}{name}/", level + 1, hidden))
+            elif hidden:
+                out.append(f"{folder}{name}")
+    return sorted(out)
+
+
+def _open(root: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            paths = b.column(0).to_pylist()
+            contents = [files.open_input_stream(f"{base}/{p}").read() for p in paths]
+            times = [files.get_file_info(f"{base}/{p}").mtime for p in paths]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(contents, pa.binary()), pa.array(times, pa.timestamp("us", "UTC"))], ["path", "content", "modificationTime"])
+
+    return work
+
+
 def read_texts(spark: SparkSession, roots: list[str], max_depth: int = 15, extensions: list[str] | None = None) -> DataFrame:
-    """(path, content) of all text files below ``roots``, by the path predicates above.
+    """(path, content, modificationTime, root) of all text files below ``roots``, hidden ones too, by
+    the path predicates above; ``root`` numbers the roots. A file comes with each root that it
+    is below; (root, path) is the order of a walk.
 
-    The path filter comes before content is decoded; hidden files are read, ignore files aren't followed.
+    The path filter comes before content is decoded; ignore files aren't followed.
     """
     out = None
-    for root in roots:
+    for number, root in enumerate(roots):
         base = root.rstrip("/")
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-        rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(base) + "/", "")
+        rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "^" + re.escape(re.sub("^file:/*", "/", base)) + "/", "")
         rows = files.select(rel.alias("path"), "content", "modificationTime")
+        if hidden := hidden_files(base, max_depth):
+            names = spark.createDataFrame([(h,) for h in hidden], "path string")
+            rows = rows.unionByName(names.mapInArrow(_open(base), "path string, content binary, modificationTime timestamp"))
         p = F.col("path")
         rows = rows.filter(~skipped(p) & ~plugin(p) & (depth(p) <= max_depth))
         rows = rows.filter(extension(p).isin(extensions) | file_name(p).isin(RUBY_NAMES)) if extensions else rows
-        rows = rows.select("path", F.decode("content", "UTF-8").alias("content"), "modificationTime")
+        rows = rows.select("path", F.decode("content", "UTF-8").alias("content"), "modificationTime", F.lit(number).alias("root"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def ignore_rules(root: str) -> list[tuple[str, bool]]:
+    """(regex over relative paths, whether it ignores) of all ignore files below a folder, outer
+    ones first; the last rule that matches a path decides. These files are few and small."""
+    files, base = fs.FileSystem.from_uri(root.rstrip("/"))
+    rules = []
+    for path in sorted((h for h in hidden_files(root.rstrip("/")) if h.rpartition("/")[2] == ".gitignore"), key=lambda p: (p.count("/"), p)):
+        text = files.open_input_stream(f"{base}/{path}").read().decode("utf-8", "replace")
+        folder = path[: -len(".gitignore")]
+        for line in text.splitlines():
+            line = line.strip()
+            if not line or line.startswith("#"):
+                continue
+            ignores, line = not line.startswith("!"), line.lstrip("!")
+            anchored = "/" in line.rstrip("/")
+            body = "".join("(?:.*/)?" if x == "**/" else ".*" if x == "**" else "[^/]*" if x == "*" else "[^/]" if x == "?" else re.escape(x) for x in re.split(r"(\*\*/|\*\*|\*|\?)", line.strip("/")))
+            rules.append((f"^{re.escape(folder)}{'' if anchored else '(?:.*/)?'}{body}{'/.*' if line.endswith('/') else '(?:/.*)?'}$", ignores))
+    return rules
+
+
+def ignored(path: Column, rules: list[tuple[str, bool]]) -> Column:
+    out = F.lit(False)
+    for regex, ignores in rules:
+        out = F.when(path.rlike(regex), ignores).otherwise(out)
+    return out
+
+
 def read_documents(spark: SparkSession, root: str, include: list[str] = DOCUMENT_GLOBS, exclude: list[str] = []) -> DataFrame:
-    """(path, content) of documents below a folder, each path once."""
-    return read_texts(spark, [root]).filter(included(F.col("path"), include, exclude)).dropDuplicates(["path"])
+    """(path, content) of documents below a folder, each path once, without ignored files."""
+    kept = included(F.col("path"), include, exclude) & ~ignored(F.col("path"), ignore_rules(root))
+    return read_texts(spark, [root]).filter(kept).dropDuplicates(["path"])
 
 
 def stack(files: DataFrame, path: str = "path", text: str = "text", by: list[str] = []) -> DataFrame:

@@ -170,23 +170,44 @@ def test_compress_output_by_command(spark, tmp_path):
         assert got[i].filtered == documents.filter(f"doc_id = {i}").select(lines.apply(FILTERS[got[i].filter], documents.text).alias("x")).first().x != texts[i]
 
 
-def test_loss_limit_binds_in_a_query(spark, tmp_path):
-    import os
-
+def test_catalog(spark, tmp_path):
     import pytest
 
-    if not os.path.isdir("/opt/tokenizers"):
-        pytest.skip("no vocabulary")
-    import __spark_entry__
-
-    spark.createDataFrame([(i, "word\n" * 60 if i % 2 else "word " * 40) for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame([("w", 512)], "pack_id string, capacity_tokens long").write.parquet(str(tmp_path / "pack_limits.parquet"))
-    windows, tokens, loss = {}, 0, 0
-    for r in __spark_entry__.queries()["p8_loss_windows"](spark, str(tmp_path)).collect():
-        windows.setdefault(r.window, []).append(r)
-    for rows in windows.values():
-        assert sum(r.loss_tokens for r in rows) <= 0.9 * 512 and sum(r.tokens for r in rows) <= 512 and len(rows) <= 32
-    assert sum(map(len, windows.values())) == 200
-    full = [sum(r.loss_tokens for r in rows) >= 0.99 * 0.9 * 512 for rows in windows.values()]
-    found = __spark_entry__.queries()["p8_loss_binding"](spark, str(tmp_path)).collect()
-    assert [(r.windows, r.by_loss) for r in found] == [(len(windows), sum(full))]
+    from lodestone.catalog import Catalog
+
+    folder = tmp_path / "guides"
+    (folder / "build").mkdir(parents=True)
+    (folder / "drafts").mkdir()
+    for name, text in {"a.md": "cache layer " * 200, "b.txt": "token budget", "c.rs": "fn reader() {}", "build/d.md": "skipped", "drafts/e.md": "ignored", ".gitignore": "# own\ndrafts/\n*.tmp.md\n!keep.tmp.md\n", "x.tmp.md": "no", "keep.tmp.md": "cache kept"}.items():
+        (folder / name).write_text(text)
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    with pytest.raises(KeyError):
+        catalog.index("guides")
+    assert catalog.bootstrap(str(folder)).asDict() == {"scanned": 3, "errors": 0, "skipped": 0, "indexed": 3} and catalog.names() == ["guides"]
+    assert {r.path for r in catalog.documents("guides").collect()} == {"a.md", "b.txt", "keep.tmp.md"} and catalog.chunks("guides").count() == 5
+    catalog.add("other", [str(folder)], ["*.rs"], contexts=[("", "code", 1)])
+    assert catalog.index("other").indexed == 1 and catalog.names() == ["guides", "other"]
+    model = lambda texts: [[float(len(t)), 1.0] for t in texts]
+    assert (catalog.embed("guides", 2, model), catalog.embed("guides", 9, model), catalog.embed("guides", 9, model)) == (2, 3, 0)
+    assert catalog.health("guides").consistent and not catalog.health("other").consistent
+    (folder / "b.txt").write_text("token budget changed")
+    (folder / "keep.tmp.md").unlink()
+    assert catalog.index("guides").asDict() == {"scanned": 2, "errors": 0, "skipped": 1, "indexed": 1}
+    assert {r.path for r in catalog.documents("guides").collect()} == {"a.md", "b.txt"} and catalog.health("guides").pending_embeddings == 1
+    assert [r.doc_path for r in catalog.search("guides", "exact: token").collect()][0] == "b.txt"
+    assert catalog.search("other", "exact: reader").first().context == "code"
+    catalog.compact("guides")
+    assert catalog.chunks("guides").count() == 4 and catalog.chunks("other").count() == 1
+
+
+def test_declarations_over_several_lines():
+    code = "import {\n  A,\n  B as C,\n} from './m';\nexport async function load(\n  path: string,\n  more = call(1),\n): Promise<void> {\n  run(\n    path,\n  );\n}\nexport class K {\n  public find(\n    id: number,\n  ): string {\n    return go(id);\n  }\n}\n"
+    sigs, refs, defs, calls, imports = extract.parse("typescript", code)
+    assert sigs == ["function load( path: string, more = call(1), )", "class K", "function find( id: number, )"] and refs == ["A", "B", "C"]
+    assert defs == [("load", "function", 5), ("K", "class", 13), ("find", "method", 14)] and imports == [("./m", 1)]
+    assert [c for c in calls] == [("call", 7), ("run", 9), ("go", 17)]
+    assert extract.parse("rust", "pub fn add<T>(\n    a: T,\n    b: T,\n) -> T {\n    f(a)\n}\n")[0] == ["pub fn add<T>( a: T, b: T, ) -> T"]
+    assert extract.parse("java", "class J {\n    public int size(\n            List<T> a,\n            int b) throws X {\n        return f(a);\n    }\n}\n")[2] == [("J", "class", 1), ("size", "method", 2)]
+    assert extract.parse("go", "func (s *S) Run(\n\tctx C,\n) error {\n\tgo1(ctx)\n}\n")[0] == ["func Run( ctx C, )"]
+    broken = "function a(\n" * 3000
+    assert len(extract.parse("javascript", broken)[3]) <= 3000  # every line is joined once, whatever is never closed
