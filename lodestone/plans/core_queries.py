@@ -439,7 +439,17 @@ def chunk_ascii(s, d):
     return rows.select("doc_id", F.explode(indexing.ascii_offsets(F.col("text"))).alias("start_offset"))
 
 
-@query("chunk_all")
+def _whole_character(at: str) -> str:
+    inside = lambda x: f"hex(b[{x} + 1:{x} + 1]) BETWEEN '80' AND 'BF'"
+    tries = " ".join(f"WHEN NOT {inside(f'({at} - {i})')} THEN {at} - {i}" for i in range(3))
+    return f"(CASE WHEN {at} <= 0 OR {at} >= n THEN {at} {tries} ELSE {at} - 3 END)"
+
+
+@query("chunk_all", rf"""WITH RECURSIVE t AS (SELECT doc_id, encode(text) AS b, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE text <> ''),
+    spans(doc_id, s, e) AS (SELECT doc_id, CAST(0 AS BIGINT), {_whole_character("least(1000, n)")} FROM t
+        UNION ALL SELECT doc_id, s, {_whole_character("least(s + 1000, n)")} FROM (SELECT doc_id, b, n, CASE WHEN back > s THEN back ELSE e END AS s
+            FROM (SELECT doc_id, b, n, s, e, {_whole_character("(e - CAST(floor((e - s) * 0.15) AS BIGINT))")} AS back FROM spans JOIN t USING (doc_id) WHERE e < n)))
+    SELECT doc_id, s AS start_offset, content FROM (SELECT doc_id, s, regexp_replace(decode(b[s + 1:e]), '^\s+|\s+$', '', 'g') AS content FROM spans JOIN t USING (doc_id)) WHERE content <> ''""")
 def chunk_all(s, d):
     return indexing.byte_chunks(load(s, d, "documents"))
 
@@ -642,7 +652,11 @@ def savings_last_days(s, d):
     return usage.by_command(usage.executions(load(s, d, "execution_metrics"), days=30, today=FIXED)).withColumn("avg_percent", F.round("avg_percent", 6))
 
 
-@query("savings_report")
+@query("savings_report", """WITH t AS (SELECT count(*) AS n, coalesce(sum(input_tokens), 0)::BIGINT AS i, coalesce(sum(output_tokens), 0)::BIGINT AS o FROM execution_metrics),
+    c AS (SELECT command_name, count(*) AS n, sum(coalesce(input_tokens, 0) - coalesce(output_tokens, 0))::BIGINT AS saved, avg(CASE WHEN input_tokens > 0 THEN (input_tokens - coalesce(output_tokens, 0)) * 100.0 / input_tokens::DOUBLE ELSE 0 END) AS percent FROM execution_metrics GROUP BY 1)
+    SELECT 0 AS n, 'Commands run: ' || n AS line FROM t UNION ALL SELECT 1, 'Tokens before: ' || i FROM t UNION ALL SELECT 2, 'Tokens after: ' || o FROM t UNION ALL SELECT 3, 'Tokens saved: ' || greatest(i - o, 0) FROM t
+    UNION ALL SELECT 4, 'Mean saving: ' || printf('%.1f', greatest(i - o, 0) / i::DOUBLE * 100) || '%' FROM t
+    UNION ALL SELECT 4 + row_number() OVER (ORDER BY saved DESC, command_name NULLS FIRST), '  ' || rpad(coalesce(command_name, '-'), 30, ' ') || ' ' || printf('%5d', n) || 'x  -' || saved || ' tokens (' || printf('%.0f', percent) || '%)' FROM c""")
 def savings_report(s, d):
     metrics = load(s, d, "execution_metrics")
     return usage.report(usage.summary(metrics), usage.by_command(metrics))
