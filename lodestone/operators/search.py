@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.operators import fusion, vectors
@@ -71,7 +71,8 @@ class Searcher:
     def hybrid(self, text: str, k: int = 10) -> DataFrame:
         """Lists of BM25 and cosine for the query (weight 2) and its variants, fused, cut to
         30, judged, normalized, best chunk per document, k best."""
-        wordings = {"q": text} | {f"v{i}": v for i, v in enumerate(self.variants(text)[:3])}
+        others = [v.strip() for v in self.variants(text)]
+        wordings = {"q": text} | {f"v{i}": v for i, v in enumerate([v for v in others if v and v != text][:3])}
         near = {f"e_{n}": vectors.cosine_to(F.col("embedding"), self.embed(t)) for n, t in wordings.items()} if self.embed is not None else {}
         words = {f"b_{n}": t for n, t in wordings.items()}
         wide = bm25_wide(self.chunks, "id", words, "content", keep=near)
@@ -101,8 +102,15 @@ def rerank(candidates: DataFrame, chunks: DataFrame, relevant: Column, boost: fl
     return rows.filter(relevant).select("id", (F.col("score") * boost).alias("score"))
 
 
-def preview(results: DataFrame) -> DataFrame:
-    """One line a result: number, score, path, and the first 200 characters without line ends."""
-    text = F.translate(F.substring("chunk_text", 1, 200), "\n", " ")
-    more = F.when(F.octet_length("chunk_text") > 200, "...").otherwise("")
-    return results.select("doc_path", "chunk_id", F.concat(F.format_string("%.4f", "score"), F.lit(" — "), F.col("doc_path"), F.lit("\n"), text, more).alias("line"))
+def preview(results: DataFrame, full: bool = False) -> DataFrame:
+    """(n, text) of each result, best first: number, score and path, its context if there is one, and
+    the first 200 characters without line ends, or with ``full`` the whole chunk, indented."""
+    n = F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id"))  # k rows
+    head = F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.format_string("%.4f", "score"), F.lit(" — "), F.col("doc_path"))
+    about = F.coalesce(F.concat(F.lit("\n    Contexto: "), F.col("context")), F.lit(""))
+    if full:
+        body = F.concat(F.lit("\n    Fragmento (offset "), F.col("chunk_offset").cast("string"), F.lit("):\n    "), F.replace("chunk_text", F.lit("\n"), F.lit("\n    ")))
+    else:
+        more = F.when(F.octet_length("chunk_text") > 200, "…").otherwise("")
+        body = F.concat(F.lit("\n    "), F.translate(F.substring("chunk_text", 1, 200), "\n", " "), more)
+    return results.select(n.alias("n"), F.concat(head, about, body).alias("text"))

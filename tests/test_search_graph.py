@@ -42,7 +42,11 @@ def test_search_modes(spark):
     assert [r.doc_path for r in s.search("exact: cache", 5).collect()][0] == "a.md"
     assert s.search("conceptual: anything", 1).collect()[0].chunk_id == 1
     assert [r.doc_path for r in s.search("cache", 5).collect()] == ["a.md"]
-    assert search.preview(s.search("exact: cache")).count() == 2
+    shown = [r.text for r in search.preview(s.search("exact: cache")).orderBy("n").collect()]
+    assert len(shown) == 2 and shown[0].startswith("[1] ") and shown[0].endswith(" — a.md\n    cache cache")
+    long = spark.createDataFrame([("p", 1, "é\n" * 150, 7, 0.5, "about")], "doc_path string, chunk_id long, chunk_text string, chunk_offset long, score double, context string")
+    assert search.preview(long).first().text == "[1] 0.5000 — p\n    Contexto: about\n    " + "é " * 100 + "…"
+    assert search.preview(long, full=True).first().text.startswith("[1] 0.5000 — p\n    Contexto: about\n    Fragmento (offset 7):\n    é\n    é")
 
 
 def test_graph(spark):
