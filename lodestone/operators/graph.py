@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -184,21 +184,22 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 DAMPING = 0.85
 
 
-def _step(ranks: DataFrame, incoming: DataFrame, outgoing: DataFrame) -> DataFrame:
-    """x' = d * incoming + d * (rank of nodes without edges) * p + (1 - d) * p."""
-    loose = ranks.join(outgoing, "node", "left_anti").agg(F.coalesce(F.sum("x"), F.lit(0.0)).alias("_loose"))
-    rows = ranks.join(incoming, "node", "left").withColumn("_loose", one_row(loose)["_loose"])
-    value = DAMPING * F.coalesce("y", F.lit(0.0)) + DAMPING * F.col("_loose") * F.col("p") + (1 - DAMPING) * F.col("p")
-    return rows.select("node", "p", value.alias("x"))
+def _iterate(nodes: DataFrame, spread: Callable[[DataFrame], DataFrame], iterations: int, every: int, tolerance: float | None) -> DataFrame:
+    """x' = d * incoming + d * (rank of nodes without edges) * p + (1 - d) * p until the L1 error is
+    below ``tolerance`` a node.
 
-
-def _iterate(nodes: DataFrame, spread, outgoing: DataFrame, iterations: int, every: int, tolerance: float | None) -> DataFrame:
+    ``nodes``: node, p, loose (whether it has no edges), own (the part of its rank that
+    ``spread`` counts back to itself, which is taken off). ``spread`` gives (node, y) of
+    ranks (node, x).
+    """
     count = nodes.count()
     total = nodes.agg(F.sum("p").alias("_sum"))
-    ranks = nodes.withColumn("_sum", one_row(total)["_sum"]).select("node", (F.col("p") / F.col("_sum")).alias("p"), F.lit(1.0 / max(count, 1)).alias("x"))
-    ranks = cut(ranks)
+    ranks = cut(nodes.withColumn("_sum", one_row(total)["_sum"]).select("node", (F.col("p") / F.col("_sum")).alias("p"), "loose", "own", F.lit(1.0 / max(count, 1)).alias("x")))
     for i in range(1, iterations + 1):
-        new = _step(ranks, spread(ranks), outgoing)
+        loose = ranks.agg(F.coalesce(F.sum(F.when(F.col("loose"), F.col("x"))), F.lit(0.0)).alias("_loose"))
+        rows = ranks.join(spread(ranks.select("node", "x")), "node", "left").withColumn("_loose", one_row(loose)["_loose"])
+        value = DAMPING * (F.coalesce("y", F.lit(0.0)) - F.col("x") * F.col("own")) + DAMPING * F.col("_loose") * F.col("p") + (1 - DAMPING) * F.col("p")
+        new = rows.select("node", "p", "loose", "own", value.alias("x"))
         if i % every == 0 or i == iterations:
             new = cut(new)
             if tolerance is not None:
@@ -216,13 +217,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 200, every: i
 
     Starts at 1 / n, damping 0.85; rank of nodes without edges goes to the personalization.
     """
-    outgoing = cut(edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("out")))
+    outgoing = edges.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("out"))
+    shares = cut(edges.join(outgoing, F.col("src") == F.col("node")).select("node", "dst", (F.col("weight") / F.col("out")).alias("w")))
+    known = nodes.join(outgoing, "node", "left").select("node", "p", F.col("out").isNull().alias("loose"), F.lit(0.0).alias("own"))
 
     def spread(ranks: DataFrame) -> DataFrame:
-        sent = ranks.join(outgoing, "node").select(F.col("node").alias("src"), (F.col("x") / F.col("out")).alias("_c"))
-        return edges.join(sent, "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("_c") * F.col("weight")).alias("y"))
+        return shares.join(ranks, "node").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("x") * F.col("w")).alias("y"))
 
-    return _iterate(nodes, spread, outgoing, iterations, every, tolerance)
+    return _iterate(known, spread, iterations, every, tolerance)
 
 
 def file_edges(refs: DataFrame, definitions: DataFrame) -> DataFrame:
@@ -242,19 +244,18 @@ def file_rank(nodes: DataFrame, refs: DataFrame, definitions: DataFrame, iterati
     r = cut(refs.filter("name is not null").groupBy(F.col("file").alias("node"), "name").agg(F.count("*").alias("r")))
     d = cut(definitions.filter("name is not null").groupBy(F.col("file").alias("node"), "name").agg(F.count("*").alias("d")))
     names = d.groupBy("name").agg(F.sum("d").alias("all_d"))
-    own = cut(r.join(d, ["node", "name"]).groupBy("node").agg(F.sum(F.col("r") * F.col("d")).alias("own")))
+    own = r.join(d, ["node", "name"]).groupBy("node").agg(F.sum(F.col("r") * F.col("d")).alias("own"))
     reach = r.join(names, "name").groupBy("node").agg(F.sum(F.col("r") * F.col("all_d")).alias("reach"))
-    out = F.col("reach") - F.coalesce("own", F.lit(0))
-    outgoing = cut(reach.join(own, "node", "left").select("node", out.alias("out")).filter("out > 0"))
+    sent = reach.join(own, "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    outgoing = cut(sent.select("node", "own", (F.col("reach") - F.col("own")).alias("out")).filter("out > 0"))
+    shares = cut(r.join(outgoing, "node").select("node", "name", (F.col("r") / F.col("out")).alias("w")))
+    known = nodes.join(outgoing, "node", "left").select("node", "p", F.col("out").isNull().alias("loose"), F.coalesce(F.col("own") / F.col("out"), F.lit(0.0)).alias("own"))
 
     def spread(ranks: DataFrame) -> DataFrame:
-        sent = ranks.join(outgoing, "node").select("node", (F.col("x") / F.col("out")).alias("_c"))
-        through = r.join(sent, "node").groupBy("name").agg(F.sum(F.col("_c") * F.col("r")).alias("_t"))
-        got = d.join(through, "name").select("node", (F.col("_t") * F.col("d")).alias("y"))
-        back = own.join(sent, "node").select("node", (-F.col("_c") * F.col("own")).alias("y"))
-        return got.unionByName(back).groupBy("node").agg(F.sum("y").alias("y"))
+        through = shares.join(ranks, "node").groupBy("name").agg(F.sum(F.col("x") * F.col("w")).alias("_t"))
+        return d.join(through, "name").groupBy("node").agg(F.sum(F.col("_t") * F.col("d")).alias("y"))
 
-    return _iterate(nodes, spread, outgoing, iterations, every, tolerance)
+    return _iterate(known, spread, iterations, every, tolerance)
 
 
 def personalization(files: DataFrame, path: str, best: list[str] = [], seeds: list[str] = []) -> DataFrame:
