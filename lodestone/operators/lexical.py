@@ -54,9 +54,10 @@ def bm25_wide(docs: DataFrame, key: str, queries: dict[str, str], text: str = "t
     none = [F.lit(None).cast("double").alias(q) for q in queries]
     if not every:
         return docs.select(key, *[v.alias(k) for k, v in keep.items()], *none)
-    rows = docs.select(key, *[v.alias(k) for k, v in keep.items()], (weight if weight is not None else F.lit(1.0)).alias("_w"), tokenize(text).alias("_tokens"))
-    hits = rows.select(key, *keep, "_w", F.when(F.col("_tokens").isNotNull(), F.size("_tokens")).alias("_dl"), F.filter("_tokens", lambda t: t.isin(every)).alias("_hits"))
-    counts = hits.filter("_dl is not null").agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.array_contains("_hits", t)).alias(f"_df_{i}") for i, t in enumerate(every)])
+    rows = docs.select(key, *[v.alias(k) for k, v in keep.items()], (weight if weight is not None else F.lit(1.0)).alias("_w"), F.col(text).isNotNull().alias("_there"), tokenize(text).alias("_tokens"))
+    hits = rows.select(key, *keep, "_w", "_there", F.size("_tokens").alias("_dl"), F.filter("_tokens", lambda t: t.isin(every)).alias("_hits"))
+    # filtered by the text alone: a condition on tokens would be pushed down and cut them again
+    counts = hits.filter("_there").agg(F.count("*").alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.array_contains("_hits", t)).alias(f"_df_{i}") for i, t in enumerate(every)])
     both = hits.withColumn("_c", one_row(counts)).select("*", "_c.*")
     norm = K1 * (1 - B + B * F.col("_dl") / F.col("_avgdl"))
 
@@ -65,7 +66,7 @@ def bm25_wide(docs: DataFrame, key: str, queries: dict[str, str], text: str = "t
         return idf(F.col("_n"), F.col(f"_df_{every.index(term)}")) * tf * (K1 + 1) / (tf + norm)
 
     any_hit = F.size("_hits") > 0
-    score = lambda own: F.when(F.col("_dl").isNull(), None).when(any_hit, reduce(lambda a, b: a + b, [part(t) for t in own]) * F.col("_w")).otherwise(0.0)
+    score = lambda own: F.when(~F.col("_there"), None).when(any_hit, reduce(lambda a, b: a + b, [part(t) for t in own]) * F.col("_w")).otherwise(0.0)
     return both.select(key, *keep, *[(score(own) if own else F.lit(None).cast("double")).alias(q) for q, own in terms.items()])
 
 
